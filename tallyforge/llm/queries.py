@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing
+from . import bpe, line_dedup, packing, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(bpe.decode(bpe.encode(docs)))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.dedup_lines(docs)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document goes into flat token files; the query is what the scan of these files finds."""
+    counts = token_files.count_tokens(spark, token_files.flat_copy(_table(spark, sf_dir, "documents")))
+    return counts.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("long").alias("file_no"), "doc_no", "start", "n_tokens", "complete")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
     "op9_packing": op9_packing,
 }
 
