@@ -18,6 +18,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch, cut, need, small_batches, stash
 
@@ -199,28 +200,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text becomes the empty text (one line).  Repeated rows get the same result each.
     """
     marks = line_bitmaps(docs, id_col, text_col, **rule)
-    names = docs.columns
-    held = F.struct(*[F.col(f"`{c}`") for c in names]).alias("held")
-    left = docs.select(held, *_keyed(docs, id_col, text_col))
-    joined = left.join(marks, ["doc", "body"], "left").select("held", F.col(f"held.`{text_col}`").alias("text"), "dropped")
-    inner = joined.schema["held"].dataType
-    extra = [n for n in ("n_lines", "n_dropped")]
-    import pyspark.sql.types as T
-
-    out = T.StructType([T.StructField("held", inner), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    other = F.struct(*[F.col(f"`{c}`") for c in names if c != text_col] or [F.lit(0).alias("none")]).alias("other")
+    left = docs.select(other, F.col(f"`{text_col}`").alias("text"), *_keyed(docs, id_col, text_col))
+    joined = left.join(marks, ["doc", "body"], "left").select("other", "text", "dropped")
+    out = T.StructType([joined.schema["other"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     done = joined.mapInArrow(_apply, out)
-    kept = [F.col("text").alias(c) if c == text_col else F.col(f"held.`{c}`").alias(c) for c in names if c not in extra]
-    return done.select(*kept, *extra)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"other.`{c}`").alias(c) for c in names], "n_lines", "n_dropped")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept, n_lines, n_dropped = [], [], []
-        for text, mark in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for text, mark in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            text = text.as_py()
             lines = (text or "").split("\n")
             n_lines.append(len(lines))
             gone = dropped_lines(mark)[: len(lines)]
             stay = [x for i, x in enumerate(lines) if i >= len(gone) or not gone[i]] if mark else lines
             n_dropped.append(len(lines) - len(stay))
             kept.append("\n".join(stay))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["held", "text", "n_lines", "n_dropped"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["other", "text", "n_lines", "n_dropped"])
