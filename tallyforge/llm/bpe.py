@@ -9,6 +9,8 @@ and with the right side's after it.  What lies outside the agreement is then wha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,7 @@ class TreeEncoder:
     def _some(self, pieces: list[str], at: list[int]) -> list[Tokens]:
         made = []
         for e, base in zip(self.tokenizer.encode_batch(pieces, add_special_tokens=False), at, strict=True):
-            places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + base
+            places = np.fromiter(chain.from_iterable(e.offsets), dtype=np.int64, count=2 * len(e)).reshape(-1, 2) + base
             made.append(Tokens(np.array(e.ids, dtype="<u4"), places[:, 0], places[:, 1]))
         return made
 
@@ -141,6 +143,19 @@ class WordBpe:
         self.special = [t["content"] for t in setup["added_tokens"]]
         self.tree = TreeEncoder(self.tokenizer)
         self.memo: dict[str, bytes] = {}
+        suffix = setup["model"].get("end_of_word_suffix") or None
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+
+    def _learn(self, words: list[str]) -> None:
+        """Many new words at once: as one text, cut after the tokens that end a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) == len(words) and cuts[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            self.memo.update((w, raw[a:b]) for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+        else:
+            for w in words:
+                self.memo[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -160,8 +175,7 @@ class WordBpe:
             self.memo.clear()
         memo = self.memo
         if new := list({w for ws in words.values() for w in ws if w not in memo}):
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self._learn(new)
         for k, ws in words.items():
             found[k] = b"".join(map(memo.__getitem__, ws))
         return found
@@ -173,6 +187,12 @@ class WordBpe:
         return lambda ids: self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
+@lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """One encoder, with its memo, for all tasks of a worker."""
+    return WordBpe(path)
+
+
 def word_bpe_path() -> str:
     import public_tokenizers as P
 
@@ -193,7 +213,7 @@ def encode(df: DataFrame, text_col: str = "text", *, path: str | None = None, id
     out = _with(T.StructType([f for f in df.schema.fields if f.name != text_col]), T.StructField(ids_col, T.BinaryType()), T.StructField("n_tokens", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path or word_bpe_path())
+        bpe = word_bpe(path or word_bpe_path())
         for b in batches:
             ids = bpe.encode(texts(b.column(b.schema.get_field_index(text_col))))
             made = {ids_col: pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
@@ -209,7 +229,7 @@ def decode(df: DataFrame, ids_col: str = "ids", *, path: str | None = None, text
     out = _with(df.schema, T.StructField(text_col, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        say = WordBpe(path or word_bpe_path()).decoder()
+        say = word_bpe(path or word_bpe_path()).decoder()
         for b in batches:
             said = pa.array([say(np.frombuffer(x or b"", dtype="<u4")) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([said if f.name == text_col else b.column(b.schema.get_field_index(f.name)) for f in out.fields], names=out.names)
