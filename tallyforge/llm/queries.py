@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dedup, packing, pii, quality, token_files, topk
+from . import bpe, html_text, jaccard, line_dedup, packing, pii, quality, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op6_pii": op6_pii,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_exact_top_k": op10_exact_top_k,
