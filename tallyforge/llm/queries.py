@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard, line_dedup, packing, pii, quality, token_files, topk
+from . import bpe, html_text, jaccard, line_dedup, packing, pii, quality, repeats, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("long").alias("file_no"), "doc_no", "start", "n_tokens", "complete")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_pii": op6_pii,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
