@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: texts may be long, so far fewer than Spark's default of 10,000.
 BATCH_ROWS = 512
+#: And bytes, whatever the number of rows.
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -18,6 +21,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(key)).rstrip("bB"))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +51,12 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def need(df: DataFrame, *names: str) -> None:
     """Fail early, by name, where a column is missing."""
     if missing := [n for n in names if n not in df.columns]:

@@ -17,7 +17,6 @@ Suffixes are ordered by 64-bit block fingerprints instead of letters, and a matc
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, need, small_batches, stash
+from .common import batch, need, release, small_batches, stash
 from .line_dedup import NO_ID
 from .shingles import mix
 
@@ -278,12 +277,6 @@ def _spread(length: int):
     return run
 
 
-def _release(spark) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, anchor: int = ANCHOR, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc, body, lo, hi) byte spans, possibly overlapping, that cover exactly the repeated windows.
 
@@ -297,16 +290,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wholes = runs.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("times"))
     keys = wholes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).filter(F.col("all") > 1).select("key", "kinds")
     known = stash(wholes.join(keys, "key"))
-    _release(spark)
+    release(spark)
     met = stash(runs.join(known, ["key", "whole"]))
-    _release(spark)
+    release(spark)
     whole = met.filter("times > 1").select("doc", "body", "lo", (F.col("lo") + F.col("more") + length).cast("int").alias("hi"))
     # a run that occurs twice as a whole needs one witness, for the runs around it that occur once
     witness = met.filter("times > 1 and kinds > 1").dropDuplicates(["key", "whole"])
     asked = met.filter("times = 1 and kinds > 1").unionByName(witness)
     wanted = asked.groupBy("doc", "body").agg(F.collect_list(F.struct("key", "lo", "more", (F.col("times") == 1).alias("single"), (F.col("kinds") > hot_runs).alias("hot"))).alias("runs"))
     contexts = stash(rows.join(wanted, ["doc", "body"]).select("doc", "body", "text", "runs").mapInArrow(_contexts(length), "key long, doc long, body long, lo int, single boolean, hot boolean, context binary"))
-    _release(spark)
+    release(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = "doc long, body long, lo int, hi int"
     usual = contexts.filter("not hot").repartition(parts, "key").mapInArrow(_edges(length), spans)
@@ -314,7 +307,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
     hot = windows.filter("single").join(twice, ["one", "two"], "left_semi").select("doc", "body", "lo", (F.col("lo") + length).cast("int").alias("hi"))
     found = stash(whole.unionByName(usual).unionByName(hot))
-    _release(spark)
+    release(spark)
     return found
 
 
