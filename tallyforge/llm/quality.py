@@ -88,9 +88,9 @@ def _transformed() -> list[Column]:
     return [F.floor(x * UNIT + 0.5).cast("long").alias(f"__x{i}") for i, x in zip(DIM, raw, strict=True)]
 
 
-def _distance(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFrame:
     """Adds __d2: forward substitution in the Cholesky factor of the group's covariance."""
-    out = rows.join(stats, "__g")
+    out = rows.join(stats, "__g", how)
     for i in DIM:
         z = F.col(f"__x{i}") / F.lit(float(UNIT)) - F.col(f"__m{i}")
         for j in range(1, i):
@@ -142,27 +142,50 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     than ``min_group`` altogether the estimate is that of all of them.  An empty table gives no rows.
     """
     need(docs, text_col, lang_col, source_col)
-    plain = [c for c in docs.columns if c not in ("distance", "kept")]
-    measured = statistics(docs.select(*[f"`{c}`" for c in plain]), text_col)
-    group = [F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("__l"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("__s")]
-    rows = stash(measured.select("*", *_transformed(), *group))
-    sizes = rows.filter("not base_failed").groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("n_s"))
+    plain = [f"`{c}`" for c in docs.columns if c not in ("distance", "kept")]
+    measured = statistics(docs.select(*plain), text_col)
+    rows = stash(measured.select("*", *_transformed(), *_group(lang_col, source_col)))
+    judged = _verdict(rows, *_fit(rows, steps, min_group), cutoff)
+    return judged.select(*[f"`{c}`" for c in measured.columns], F.col("__d2").alias("distance"), F.col("__kept").alias("kept"))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, cutoff: float = CUTOFF, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, whole.  Texts are measured twice, so that none is shuffled:
+    once for the estimates, and once where each row meets its group's."""
+    need(docs, text_col, lang_col, source_col)
+    group = _group(lang_col, source_col)
+    rows = stash(statistics(docs.select(F.col(f"`{text_col}`"), *group), text_col).select("*", *_transformed()))
+    fitted = _fit(rows, steps, min_group)
+    whole = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__measured"), *group), "__measured")
+    return _verdict(whole.select("*", *_transformed()), *fitted, cutoff).filter("__kept").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _group(lang_col: str, source_col: str) -> list[Column]:
+    return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "__l"), (source_col, "__s"))]
+
+
+def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """Which estimate each language and source uses, and the estimates."""
+    good = rows.filter("not base_failed")
+    sizes = good.groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("n_s"))
     sizes = sizes.join(sizes.groupBy("__l").agg(F.sum("n_s").alias("n_l")), "__l")
     key = F.when(F.col("n_s") >= min_group, F.concat_ws("\u0001", F.lit("s"), "__l", "__s")).when(F.col("n_l") >= min_group, F.concat_ws("\u0001", F.lit("l"), "__l")).otherwise(F.lit("a"))
-    keyed = stash(rows.join(sizes.select("__l", "__s", key.alias("own")), ["__l", "__s"], "left").withColumnRenamed("own", "__own"))
-    fit_own = keyed.filter("not base_failed").select("__own", "__l", "__s", *[f"__x{i}" for i in DIM])
-    fit = _fit_rows(fit_own, min_group)
+    uses = stash(sizes.select("__l", "__s", key.alias("__own")))
+    fit = stash(_fit_rows(good.select("__l", "__s", *[f"__x{i}" for i in DIM]).join(uses, ["__l", "__s"])))
     stats = stash(_medians(fit))
     for _ in range(steps):
         stats = stash(_concentrate(fit, stats))
-    good = _distance(keyed.filter("not base_failed").withColumn("__g", F.col("__own")), stats)
-    failed = keyed.filter("base_failed").withColumn("__d2", F.lit(None).cast("double"))
-    names = [c for c in measured.columns]
-    both = good.select(*[f"`{c}`" for c in names], "__d2").unionByName(failed.select(*[f"`{c}`" for c in names], "__d2"))
-    return both.select(*[F.col(f"`{c}`") for c in names], F.col("__d2").alias("distance"), F.coalesce(~F.col("base_failed") & (F.col("__d2") <= cutoff), F.lit(False)).alias("kept"))
+    return uses, stats
+
+
+def _verdict(rows: DataFrame, uses: DataFrame, stats: DataFrame, cutoff: float) -> DataFrame:
+    """Adds __d2 (null where a fixed rule failed) and __kept."""
+    placed = rows.join(uses.withColumnRenamed("__own", "__g"), ["__l", "__s"], "left")
+    far = _distance(placed, stats, "left").withColumn("__d2", F.when(~F.col("base_failed"), F.col("__d2")))
+    return far.withColumn("__kept", F.coalesce(~F.col("base_failed") & (F.col("__d2") <= cutoff), F.lit(False)))
 
 
-def _fit_rows(rows: DataFrame, min_group: int) -> DataFrame:
+def _fit_rows(rows: DataFrame) -> DataFrame:
     """Rows by the estimate that they take part in: their own group's, and their language's and everything's
     where some group falls back to it (then all rows of the language, or all rows, take part)."""
     x = [f"__x{i}" for i in DIM]
