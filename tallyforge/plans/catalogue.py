@@ -137,7 +137,7 @@ def q11_lite_sum(spark, sf_dir):
     return _lite(spark, sf_dir, "select sum(2) from EVENTS where 5 contains '8'")
 
 
-@query('SELECT count(*)::BIGINT AS "count", sum(user_id)::BIGINT AS sum_user_id, max(event_id)::BIGINT AS max_event_id FROM events WHERE event_id BETWEEN 100 AND 900 AND user_id > 20')
+@query('SELECT count(*)::BIGINT AS "count", coalesce(sum(user_id), 0)::BIGINT AS sum_user_id, coalesce(max(event_id), 0)::BIGINT AS max_event_id FROM events WHERE event_id BETWEEN 100 AND 900 AND user_id > 20')
 def q12_lite_several(spark, sf_dir):
     return _lite(spark, sf_dir, "SELECT COUNT(*), SUM(user_id), MAX(0) FROM EVENTS WHERE event_id BETWEEN 100 AND 900 AND user_id > 20;")
 

@@ -20,9 +20,12 @@ LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (\S+) (\S+) (\S+) (\d{3})\s*$"
 
 
 def read_lines(spark: SparkSession, *paths: str, encoding: str | None = None) -> DataFrame:
-    """One row per line, with the file it came from."""
-    reader = spark.read.option("encoding", encoding) if encoding else spark.read
-    return reader.text(list(paths)).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+    """One row per line, with the file it came from.  UTF-8 files are split among tasks; a file in another
+    encoding is read whole, as its line ends are not single bytes."""
+    if encoding:
+        text = F.regexp_replace(F.decode("content", encoding), "\r?\n$", "")
+        return spark.read.format("binaryFile").load(list(paths)).select(F.explode(F.split(text, "\r?\n")).alias("line"), F.col("path").alias("file"))
+    return spark.read.text(list(paths)).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:

@@ -32,7 +32,7 @@ def ingest(stream: DataFrame, into: str, checkpoint: str, ts: str = "ts", *ties:
 
 def live_tail(flushed: DataFrame, unflushed: DataFrame) -> DataFrame:
     """What has been written and what has not yet, as one table."""
-    return flushed.unionByName(unflushed)
+    return flushed.select(*unflushed.columns).unionByName(unflushed)
 
 
 def tumbling(events: DataFrame, ts: str, width: str, *by: str, slide: str | None = None, **aggregates: Column) -> DataFrame:
@@ -43,7 +43,7 @@ def tumbling(events: DataFrame, ts: str, width: str, *by: str, slide: str | None
 
 
 def sessions(events: DataFrame, ts: str, gap: str, *by: str) -> DataFrame:
-    """session_start, session_end and n of runs of events no further apart than the gap."""
+    """session_start, session_end and n of each key's runs of events no further apart than the gap (streams need a key)."""
     found = events.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return found.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n")
 
