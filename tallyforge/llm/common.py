@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: texts may be long, so far fewer than Spark's default of 10,000.
@@ -51,6 +52,12 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a narrow table on the executors' disks, for several readers; what a lost executor held is made again
+    from the lineage, which stays.  Writes no files to the shared folder."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that nothing refers to any more."""
     gc.collect()
