@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -145,19 +146,20 @@ def _pack(make: Callable[[], ByteBpe], window: int, open_windows: int, least_cut
 
 def _merge(window: int):
     def run(pdf):
-        """Whole left-over windows, largest first, go where they fit best; pieces keep their order inside."""
-        size = pdf.groupby("sequence_id")["length"].sum().sort_values(ascending=False, kind="stable")
-        gaps: list[tuple[int, int, int]] = []  # (gap, target, used)
-        moved = {}
-        for seq, n in size.items():
-            k = bisect_left(gaps, (n, -1, -1))
-            gap, target, used = gaps.pop(k) if k < len(gaps) else (window, seq, 0)
-            moved[seq] = (target, used)
+        """Left-over pieces, longest first, go where they fit best; ids of the windows that they leave are used again."""
+        pdf = pdf.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        old = sorted(set(pdf["sequence_id"]))
+        names = chain(old, count(old[0] | (1 << 39)))  # best fit may need a window more; such ids no partition gives
+        gaps: list[tuple[int, int]] = []  # (gap, sequence)
+        at = []
+        for n in pdf["length"]:
+            k = bisect_left(gaps, (n, -1))
+            gap, seq = gaps.pop(k) if k < len(gaps) else (window, next(names))
+            at.append((seq, window - gap))
             if gap > n:
-                insort(gaps, (gap - n, target, used + n))
-        old = pdf["sequence_id"]
-        pdf["offset"] += old.map(lambda s: moved[s][1])
-        pdf["sequence_id"] = old.map(lambda s: moved[s][0])
+                insort(gaps, (gap - n, seq))
+        pdf["sequence_id"] = [s for s, _ in at]
+        pdf["offset"] = [o for _, o in at]
         return pdf[[c.split()[0] for c in PIECES.split(", ")]]
 
     return run
