@@ -25,7 +25,8 @@ MIN_GROUP, STEPS, CORE_NUMERATOR, CORE_DENOMINATOR = 50, 3, 3, 4
 CUTOFF, CONSISTENCY = 49.0, 1.412
 #: Least standard deviation of a transformed statistic: word length, symbols, repeated lines, repeated words, length.
 FLOORS = (0.10, 0.25, 0.35, 0.70, 1.00)
-UNIT, BINS = 256, 32
+#: Distances are counted in bins of 1/32 up to 100, so that a group's histogram has at most 3201 rows.
+UNIT, BINS, FAR = 256, 32, 100.0
 DIM = range(1, 6)
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -115,7 +116,7 @@ def _medians(fit: DataFrame) -> DataFrame:
 
 def _concentrate(fit: DataFrame, stats: DataFrame) -> DataFrame:
     """One step: mean and Cholesky factor of the covariance of the documents nearest under ``stats``."""
-    binned = _distance(fit, stats).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(1000.0)) * BINS).cast("long"))
+    binned = _distance(fit, stats).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(FAR)) * BINS).cast("long"))
     counts = binned.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("__g")
     met = counts.select("__g", "__bin", F.sum("n").over(w.orderBy("__bin")).alias("upto"), F.sum("n").over(w).alias("n"))
@@ -238,7 +239,7 @@ UNION ALL SELECT 'a', {xs} FROM keyed WHERE 'a' IN (SELECT own FROM keyed)""")
 
     for step in range(1, STEPS + 1):
         distance(f"dist{step}", "fit", f"stats{step - 1}")
-        let(f"bin{step}", f"SELECT g, {xs}, floor(least(d2, 1000.0::DOUBLE) * {BINS})::BIGINT AS b FROM dist{step}")
+        let(f"bin{step}", f"SELECT g, {xs}, floor(least(d2, {FAR}::DOUBLE) * {BINS})::BIGINT AS b FROM dist{step}")
         let(f"cum{step}", f"SELECT g, b, sum(n) OVER (PARTITION BY g ORDER BY b) AS upto, sum(n) OVER (PARTITION BY g) AS n FROM (SELECT g, b, count(*) AS n FROM bin{step} GROUP BY g, b)")
         let(f"level{step}", f"SELECT g, min(b) AS level FROM cum{step} WHERE {CORE_DENOMINATOR} * upto >= {CORE_NUMERATOR} * n GROUP BY g")
         sums = ", ".join([f"sum(x{i})::DOUBLE / count(*) AS a{i}" for i in dims] + [f"sum(x{i} * x{j})::DOUBLE / count(*) AS a{i}{j}" for i, j in pairs])
