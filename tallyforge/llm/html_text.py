@@ -36,7 +36,8 @@ _MARKED = re.compile(
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|page-?header|site-?header)(?:$|[\s_-])", re.I)
-_BLANK = re.compile(r"\s+")
+#: Of these, what may hold articles that are not the page's.
+_OTHERS = re.compile(r"comment|respond|repl|disqus|related|recommend|side|widget|promo|sponsor", re.I)
 
 
 class _Line:
@@ -52,7 +53,7 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.stack: list[tuple[str, int, bool]] = []  # name, own number, whether it is no article
+        self.stack: list[tuple[str, int, int]] = []  # name, own number, whether it is no article (2: articles in it neither)
         self.n = self.tags = self.linked = self.links = self.raw = 0
         self.buffer: list[str] = []
 
@@ -86,6 +87,11 @@ class _Lines(HTMLParser):
         self.links = 0
         if tag == "body":
             self.raw = 0
+        if tag in ("article", "main"):  # nothing that was left open before it holds the page's article
+            for k, (_, _, out) in enumerate(self.stack):
+                if out == 1:
+                    self._close(k)
+                    break
         for k in range(len(self.stack) - 1, -1, -1):  # what this tag ends by itself
             name = self.stack[k][0]
             if name == "p" or name == tag == "li" or (name in ("dt", "dd") and tag in ("dt", "dd")) or (name == tag and tag in ("tr", "td", "th", "option")) or (re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", tag)):
@@ -97,13 +103,13 @@ class _Lines(HTMLParser):
     def _open(self, tag: str, attrs: list) -> None:
         self.n += 1
         inside = any(s[0] in ("article", "main") for s in self.stack)
-        out = tag in _NOT_TEXT or (tag == "header" and not inside)
+        out = 2 if tag == "aside" else int(tag in _NOT_TEXT or (tag == "header" and not inside))
         if not out and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
                 if value and (name in ("class", "id", "role") and (_MARKED.search(value) or (not inside and _HEADER.search(value)))):
-                    out = True
+                    out = 2 if _OTHERS.search(value) else 1
                 elif name in ("hidden", "aria-hidden") and value != "false":
-                    out = True
+                    out = 2
         self.stack.append((tag, self.n, out))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

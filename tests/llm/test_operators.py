@@ -375,7 +375,7 @@ WANT = "A&B\nFirst paragraph of the article, with a link in it.\nSecond one <her
 
 
 def test_article(spark):
-    for page in (PAGE % f"<article>{BODY}</article>", PAGE % f"<main>{BODY}</main>", PAGE % BODY, (PAGE % f"<article>{BODY}</article>").replace("</body></html>", "")):
+    for page in ((PAGE % f"<article>{BODY}</article>").replace("</nav>", ""), (PAGE % f"<article>{BODY}</article>").replace("Buy now</div>", "Buy now"), PAGE % f"<article>{BODY}</article>", (PAGE % f"<article>{BODY}</article>").replace("<p>First!", "<article><p>First!"), PAGE % f"<main>{BODY}</main>", PAGE % BODY, (PAGE % f"<article>{BODY}</article>").replace("</body></html>", "")):
         assert html_text.main_text(page) == WANT, page
     for page in ("", "no markup at all", "<p>", "<div", "<script>x", "&#0;", "<p>" * 3000 + "x", "<nav>only a menu</nav>"):
         assert isinstance(html_text.main_text(page), str)
