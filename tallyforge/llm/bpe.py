@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, small_batches, texts
+from .common import need, ready, texts
 
 #: Longest text that is encoded at once; tokens of the first window around a join; tokens in a row that must agree.
 LEAF_CHARS, FIRST_WINDOW, AGREE = 32_768, 32, 8
@@ -209,7 +209,7 @@ def encode(df: DataFrame, text_col: str = "text", *, path: str | None = None, id
     32-bit), ``n_tokens`` long.  A null text is the empty text: no ids.  Columns of these names are replaced;
     others stay.  No shuffle: a row is its own unit, repeated rows repeat their result."""
     need(df, text_col)
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     out = _with(T.StructType([f for f in df.schema.fields if f.name != text_col]), T.StructField(ids_col, T.BinaryType()), T.StructField("n_tokens", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def encode(df: DataFrame, text_col: str = "text", *, path: str | None = None, id
 def decode(df: DataFrame, ids_col: str = "ids", *, path: str | None = None, text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``, the text that the ids decode to, special tokens kept.  Null ids: the empty text."""
     need(df, ids_col)
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     out = _with(df.schema, T.StructField(text_col, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -14,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 #: And bytes, whatever the number of rows.
 BATCH_BYTES = 8 << 20
+_shipped: dict[str, str] = {}
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the Arrow batch size (never raise it), so that a worker holds few whole texts at once."""
+def ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Before Python runs on the executors: they get this package, and few whole texts at once (limits are
+    lowered, never raised)."""
+    _ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
@@ -28,6 +33,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors, once for each application: they need no path to it."""
+    sc = spark.sparkContext
+    if _shipped.get("to") == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="tallyforge-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(str(at))
+    _shipped["to"] = sc.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     sc = spark.sparkContext

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import need, small_batches, texts
+from .common import need, ready, texts
 
 #: Width of the Gaussian in lines, and the threshold as a share of the ratios' standard deviation.
 SIGMA, THRESHOLD = 1.0, 0.5
@@ -205,7 +205,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", *, text_col: str = "t
     as far as it goes.  Columns named ``text_col`` or n_chars are replaced; others stay; repeated rows repeat.
     """
     need(pages, html_col)
-    small_batches(pages.sparkSession)
+    ready(pages.sparkSession)
     more = [T.StructField(text_col, T.StringType()), T.StructField("n_chars", T.LongType())]
     out = T.StructType([f for f in pages.schema.fields if f.name not in (html_col, text_col, "n_chars")] + more)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, cut, need, small_batches, stash
+from .common import batch, cut, need, ready, stash
 
 #: Code points that a key needs, and documents that must hold it.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -174,7 +174,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null id is one document, smaller than every other; a null text is one empty line.
     """
     need(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("text"))
     lines = stash(rows.mapInArrow(_line_keys(min_chars), "h1 long, h2 long, doc long, body long, pos int"))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("body"), F.col("pos")]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, need, small_batches, texts
+from .common import batch, cut, need, ready, texts
 
 #: Tokens in a window, windows open at once in a partition, and the smallest gap that a document is cut for.
 WINDOW, OPEN_WINDOWS, LEAST_CUT = 1024, 64, 32
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mak
     occur.  An empty table gives no rows.  Other columns are ignored.
     """
     need(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     inner = f"{PIECES}, part long, is_open boolean"
     # written once: both the emitted windows and the left-over ones come from it

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, small_batches, stash, texts
+from .common import need, ready, stash, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs this many distinct seeds, this share of all seed contexts (so at most 1 / share patterns of
@@ -170,7 +170,7 @@ def _add(starts: list[int], ends: list[int], s: int, e: int) -> tuple[list[int],
 def learn_patterns(docs: DataFrame, text_col: str = "text", *, min_instances: int = MIN_INSTANCES, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> frozenset[tuple[str, str]]:
     """(context, kind) patterns of high confidence over all of ``docs``; at most 2 / ``min_share`` of them."""
     need(docs, text_col)
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"))
     shape = "context string, kind string, instance string, n long"
     seeds = stash(rows.mapInArrow(_seed_contexts, shape).groupBy("context", "kind", "instance").agg(F.sum("n").alias("n")))
@@ -207,7 +207,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", *, patterns: frozenset | N
     need(docs, text_col)
     if patterns is None:
         patterns = learn_patterns(docs, text_col)
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     long = [T.StructField(n, T.LongType()) for n in (*(f"n_{k}" for k in KINDS), "n_added")]
     more = [*long, *(T.StructField(n, T.StringType()) for n in ("base_spans", "spans", *([masked_col] if masked_col else [])))]
     gone = {f.name for f in more} | {text_col}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, need, release, small_batches, stash
+from .common import batch, need, release, ready, stash
 from .line_dedup import NO_ID
 from .shingles import mix
 
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     need(docs, id_col, text_col)
     spark = docs.sparkSession
-    small_batches(spark)
+    ready(spark)
     rows = docs.select(*_named(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
     runs = stash(rows.mapInArrow(_find_runs(length, anchor), "key long, whole long, doc long, body long, lo int, more int"))
     wholes = runs.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("times"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, need, shared_dir, small_batches, texts
+from .common import batch, need, shared_dir, ready, texts
 from .packing import byte_bpe
 
 #: The end-of-document id of the byte-level vocabulary, bytes of an id, and bytes in a block.
@@ -30,7 +30,7 @@ def write_flat(docs: DataFrame, at: str, text_col: str = "text", *, make=None, e
     The identifier is the writer's record separator, so it follows each document.  A null text is an empty one.
     """
     need(docs, text_col)
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = (make or byte_bpe())()
@@ -67,7 +67,7 @@ def count_tokens(spark: SparkSession, path: str, *, end_id: int = END_OF_DOCUMEN
     if block_bytes % width:
         raise ValueError("a block must hold whole ids")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
-    small_batches(spark)
+    ready(spark)
     whole = F.when(F.col("length") % width == 0, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not whole ids: "), F.col("path"))).cast("binary"))
     spots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))
     cutting = F.transform(spots, lambda i: F.struct(i.alias("block"), F.substring(whole, (i * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("raw")))

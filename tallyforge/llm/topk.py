@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, need, small_batches, stash
+from .common import batch, need, ready, stash
 
 #: Rows in a tree, entries in a node, queries in a block, trees that a block meets in one task, results of a query.
 TREE_ROWS, NODE_ROWS, BLOCK_QUERIES, TREES_TOGETHER, TOP = 8192, 64, 512, 4, 10
@@ -180,7 +180,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     """
     need(vectors, id_col, vector_col)
     need(queries, id_col, vector_col)
-    small_batches(vectors.sparkSession)
+    ready(vectors.sparkSession)
     page = "part long, page long, size long, blob binary"
     trees = stash(_quantised(vectors, id_col, vector_col, scale).filter("vec_id is not null").mapInArrow(_pages(tree_rows, True), page))
     blocks = stash(_quantised(queries, id_col, vector_col, scale).filter("vec_id is not null").repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)).mapInArrow(_pages(block_queries, False), page))
