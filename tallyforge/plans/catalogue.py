@@ -13,7 +13,7 @@ from ..operators import linegraph as G
 from ..operators import predicates as P
 from ..operators import scanning as S
 from ..session import shared_path
-from ..sources import logs, parts
+from ..sources import logs, parts, readers
 from ..streaming import live
 from .lite_sql import lite_sql
 
@@ -433,6 +433,29 @@ def q30c_stream_distinct(spark, sf_dir):
     return live.drain(live.distinct_within(_stream(spark, sf_dir), "ts", "60 days", "user_id").select("user_id"), "append")
 
 
+# other sources
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 4 < 3")
+def q31_formats(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    out = []
+    for i, kind in enumerate(("orc", "json", "csv")):
+        at = shared_path(spark, kind)
+        readers.write_files(e.filter(F.col("event_id") % 4 == i), at, kind)
+        out.append(readers.read_files(spark, at, kind, e.schema))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_SYSLOG = ["<34>Oct 11 22:14:15 mymachine su[230]: failed for lonvick", "<165>1 2024-10-11T22:14:15.003Z host.example.com app 77 ID47 - started", "no syslog", "<13>Feb  5 17:32:18 10.0.0.99 cron: run"]
+
+
+@query("SELECT * FROM (VALUES (4, 'critical', 'mymachine', 'su', 230, 'failed for lonvick'), (20, 'notice', 'host.example.com', 'app', 77, 'started'), (-1, '-', '-', '-', -1, '-'), (1, 'notice', '10.0.0.99', 'cron', -1, 'run')) t(facility, severity, host, app, pid, message)")
+def q32_syslog(spark, sf_dir):
+    lines = spark.createDataFrame([(x,) for x in _SYSLOG], "line string")
+    return readers.parse_syslog(lines).drop("raw").fillna(-1).fillna("-")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COUNT and SUM behind one threshold: scan, pushed filter, partial and final aggregate."""
     e = _events(spark, sf_dir)
