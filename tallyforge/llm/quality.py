@@ -120,7 +120,8 @@ def _concentrate(fit: DataFrame, stats: DataFrame) -> DataFrame:
     counts = binned.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("__g")
     met = counts.select("__g", "__bin", F.sum("n").over(w.orderBy("__bin")).alias("upto"), F.sum("n").over(w).alias("n"))
-    level = met.filter(CORE_DENOMINATOR * F.col("upto") >= CORE_NUMERATOR * F.col("n")).groupBy("__g").agg(F.min("__bin").alias("__level"))
+    # written first: a row per group, so that its size is known when the rows meet it, and no group is dealt to one task
+    level = stash(met.filter(CORE_DENOMINATOR * F.col("upto") >= CORE_NUMERATOR * F.col("n")).groupBy("__g").agg(F.min("__bin").alias("__level")))
     core = binned.join(level, "__g").filter("__bin <= __level")
     sums = [F.sum(f"__x{i}").alias(f"s{i}") for i in DIM] + [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s{i}{j}") for i in DIM for j in range(1, i + 1)]
     out = core.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), *sums)
