@@ -16,7 +16,7 @@ ODD_EVERY = 5000
 #: Indicators of compromise that a scan looks for.
 INDICATORS = ["13.37.13.37", "/admin", "/.env"]
 
-LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (\S+) (\S+) (\S+) (\d{3})\s*$"
+LINE = r"^\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\] \S+ \S+ \S+ \d{3}\s*$"
 
 
 def read_lines(spark: SparkSession, *paths: str, encoding: str | None = None) -> DataFrame:
@@ -25,7 +25,8 @@ def read_lines(spark: SparkSession, *paths: str, encoding: str | None = None) ->
     if encoding:
         text = F.regexp_replace(F.decode("content", encoding), "\r?\n$", "")
         return spark.read.format("binaryFile").load(list(paths)).select(F.explode(F.split(text, "\r?\n")).alias("line"), F.col("path").alias("file"))
-    return spark.read.text(list(paths)).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+    bare = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    return spark.read.text(list(paths)).select(bare.alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -40,13 +41,15 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def parse_weblog(lines: DataFrame, column: str = "line") -> DataFrame:
-    """ts, ip, method, path, status, raw; a line of another shape has only its raw text."""
-    part = lambda i: F.nullif(F.regexp_extract(column, LINE, i), F.lit(""))
-    return lines.select(
-        F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        part(2).alias("ip"), part(3).alias("method"), part(4).alias("path"), part(5).try_cast("int").alias("status"),
-        F.col(column).alias("raw"),
-    )
+    """ts, ip, method, path, status, raw; a line of another shape has only its raw text.
+
+    The shape is tested once a line; fields are then cut at blanks, once as well.
+    """
+    fields = F.when(F.col(column).rlike(LINE), F.split(F.rtrim(column), " "))
+    part = lambda i: F.get(F.col("__fields"), F.lit(i))
+    cut = lines.select(F.col(column).alias("raw"), fields.alias("__fields"))
+    moment = F.concat(F.substring(part(0), 2, 10), F.lit(" "), F.substring(part(1), 1, 8))
+    return cut.select(moment.try_cast("timestamp").alias("ts"), part(2).alias("ip"), part(3).alias("method"), part(4).alias("path"), part(5).try_cast("int").alias("status"), "raw")
 
 
 def made_records(spark: SparkSession, n: int, start: int = 0, message: str = "system log entry") -> DataFrame:
