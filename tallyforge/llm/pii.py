@@ -32,13 +32,35 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # no later start in a ru
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+?)\s*\Z")
-#: What an identifier of a kind may look like beyond the base rules.
-_LOOSE = {
-    "email": re.compile(r"[\w.%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{1,63})+"),
-    "ip": re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}|[0-9]{1,3}(?:[.,][0-9]{1,3}){3}"),
+#: What an identifier of a kind may look like beyond the base rules.  Rare marks are sought first, and what stands
+#: around them is matched then.
+_AT = re.compile(r"@|\(at\)|\[at\]|\sat\s")
+_NAME = re.compile(r"[\w.%+-]{1,64}\s?\Z")
+_HOST = re.compile(r"\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{1,63})+")
+_NUMBERS = {
+    "ip": re.compile(r"[0-9]{1,3}(?:[.,][0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9]){11,18}"),
     "phone": re.compile(r"\(?[0-9](?:[ ()./_-]{0,2}[0-9]){6,14}"),
 }
+_HEX = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
+
+
+def _loose(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    if kind == "email":
+        done = 0
+        for m in _AT.finditer(text):
+            low = max(done, m.start() - 65)
+            name = _NAME.search(text[low : m.start()])
+            host = _HOST.match(text, m.end()) if name else None
+            if host:
+                done = host.end()
+                yield low + name.start(), done
+        return
+    for m in _NUMBERS[kind].finditer(text):
+        yield m.span()
+    if kind == "ip" and text.count(":") > 1:
+        for m in _HEX.finditer(text):
+            yield m.span()
 
 
 def _luhn(digits: str) -> bool:
@@ -149,8 +171,7 @@ def discoveries(text: str, patterns: frozenset, base: list[tuple[int, int, int]]
     for k, kind in enumerate(KINDS):
         if not any(p[1] == kind for p in patterns):
             continue
-        for m in _LOOSE[kind].finditer(text):
-            s, e = m.span()
+        for s, e in _loose(kind, text):
             if (s and text[s - 1].isalnum()) or text[e : e + 1].isalnum() or not free(s, e):
                 continue
             if any((c, kind) in patterns for c in _contexts(text, s)):
