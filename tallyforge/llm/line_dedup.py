@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, cut, need, ready, stash
+from .common import batch, hold, need, ready
 
 #: Code points that a key needs, and documents that must hold it.
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -176,11 +176,11 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     need(docs, id_col, text_col)
     ready(docs.sparkSession)
     rows = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("text"))
-    lines = stash(rows.mapInArrow(_line_keys(min_chars), "h1 long, h2 long, doc long, body long, pos int"))
+    lines = hold(rows.mapInArrow(_line_keys(min_chars), "h1 long, h2 long, doc long, body long, pos int"))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("body"), F.col("pos")]
     small = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = docs.sparkSession
-    ordered = cut(lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order))
+    ordered = hold(lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order))
     before = spark.conf.get(small)
     spark.conf.set(small, "65536")  # of numbers only
     try:
