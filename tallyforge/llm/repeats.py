@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, need, release, ready, stash
+from .common import batch, hold, need, ready, release, stash
 from .line_dedup import NO_ID
 from .shingles import mix
 
@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ready(spark)
     rows = docs.select(*_named(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
-    runs = stash(rows.mapInArrow(_find_runs(length, anchor), "key long, whole long, doc long, body long, lo int, more int"))
+    runs = hold(rows.mapInArrow(_find_runs(length, anchor), "key long, whole long, doc long, body long, lo int, more int"))
     wholes = runs.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("times"))
     keys = wholes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).filter(F.col("all") > 1).select("key", "kinds")
     known = stash(wholes.join(keys, "key"))
@@ -306,8 +306,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = contexts.filter("hot").mapInArrow(_spread(length), "one long, two long, doc long, body long, lo int, single boolean")
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
     hot = windows.filter("single").join(twice, ["one", "two"], "left_semi").select("doc", "body", "lo", (F.col("lo") + length).cast("int").alias("hi"))
-    found = stash(whole.unionByName(usual).unionByName(hot))
-    release(spark)
+    found = hold(whole.unionByName(usual).unionByName(hot))
     return found
 
 
