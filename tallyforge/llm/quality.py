@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, stash
+from .common import hold, need, stash
 
 #: Fixed rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     need(docs, text_col, lang_col, source_col)
     plain = [f"`{c}`" for c in docs.columns if c not in ("distance", "kept")]
     measured = statistics(docs.select(*plain), text_col)
-    rows = stash(measured.select("*", *_transformed(), *_group(lang_col, source_col)))
+    rows = hold(measured.select("*", *_transformed(), *_group(lang_col, source_col)))
     judged = _verdict(rows, *_fit(rows, steps, min_group), cutoff)
     return judged.select(*[f"`{c}`" for c in measured.columns], F.col("__d2").alias("distance"), F.col("__kept").alias("kept"))
 
@@ -156,7 +156,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     once for the estimates, and once where each row meets its group's."""
     need(docs, text_col, lang_col, source_col)
     group = _group(lang_col, source_col)
-    rows = stash(statistics(docs.select(F.col(f"`{text_col}`"), *group), text_col).select("*", *_transformed()))
+    rows = hold(statistics(docs.select(F.col(f"`{text_col}`"), *group), text_col).select("*", *_transformed()))
     fitted = _fit(rows, steps, min_group)
     whole = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__measured"), *group), "__measured")
     return _verdict(whole.select("*", *_transformed()), *fitted, cutoff).filter("__kept").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
@@ -173,7 +173,7 @@ def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFr
     sizes = sizes.join(sizes.groupBy("__l").agg(F.sum("n_s").alias("n_l")), "__l")
     key = F.when(F.col("n_s") >= min_group, F.concat_ws("\u0001", F.lit("s"), "__l", "__s")).when(F.col("n_l") >= min_group, F.concat_ws("\u0001", F.lit("l"), "__l")).otherwise(F.lit("a"))
     uses = stash(sizes.select("__l", "__s", key.alias("__own")))
-    fit = stash(_fit_rows(good.select("__l", "__s", *[f"__x{i}" for i in DIM]).join(uses, ["__l", "__s"])))
+    fit = hold(_fit_rows(good.select("__l", "__s", *[f"__x{i}" for i in DIM]).join(uses, ["__l", "__s"])))
     stats = stash(_medians(fit))
     for _ in range(steps):
         stats = stash(_concentrate(fit, stats))
