@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import occurrences
 from ..operators import aggregates as A
 from ..operators import context as C
 from ..operators import linegraph as G
