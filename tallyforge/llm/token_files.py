@@ -42,17 +42,20 @@ def write_flat(docs: DataFrame, at: str, text_col: str = "text", *, make=None, e
     flat.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(at)
 
 
-def _scan(end_id: int, width: int):
+def _scan(end_id: int, width: int, block_ids: int):
+    """A row per block of each file: its ids, the places of the identifier in it, the last of these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, last, n = [], [], []
-            for raw in b.column(2):
-                ids = np.frombuffer(raw.as_buffer(), dtype=f"<u{width}") if len(raw.as_buffer()) else np.zeros(0, f"<u{width}")
-                ends = np.flatnonzero(ids == end_id)
-                n.append(len(ids))
-                last.append(int(ends[-1]) if len(ends) else None)
-                found.append(ends)
-            yield batch(_BLOCKS, [b.column(0), b.column(1), n, last, pa.array([x.tolist() for x in found], pa.list_(pa.int64()))])
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = raw.as_buffer()
+                if len(data) % width:
+                    raise ValueError(f"not whole ids: {path}")
+                ids = np.frombuffer(data, dtype=f"<u{width}")
+                for k in range(0, len(ids), block_ids):
+                    ends = np.flatnonzero(ids[k : k + block_ids] == end_id)
+                    last = int(ends[-1]) if len(ends) else None
+                    yield batch(_BLOCKS, [[path], [k // block_ids], [min(block_ids, len(ids) - k)], [last], pa.array([ends.tolist()], pa.list_(pa.int64()))])
 
     return run
 
@@ -68,11 +71,9 @@ def count_tokens(spark: SparkSession, path: str, *, end_id: int = END_OF_DOCUMEN
         raise ValueError("a block must hold whole ids")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
     ready(spark)
-    whole = F.when(F.col("length") % width == 0, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not whole ids: "), F.col("path"))).cast("binary"))
-    spots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))
-    cutting = F.transform(spots, lambda i: F.struct(i.alias("block"), F.substring(whole, (i * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("raw")))
-    blocks = files.select("path", F.explode(cutting).alias("b")).select("path", "b.block", "b.raw").mapInArrow(_scan(end_id, width), "path string, block long, n_ids long, last_end long, ends array<long>")
     per = block_bytes // width
+    # the bytes go to Python once, as they are: cutting them up in the JVM would copy each file several times
+    blocks = files.select("path", "content").mapInArrow(_scan(end_id, width, per), "path string, block long, n_ids long, last_end long, ends array<long>")
     base = F.col("block") * per
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     final = Window.partitionBy("path")
