@@ -106,7 +106,8 @@ def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFram
 def _medians(fit: DataFrame) -> DataFrame:
     """Per group the medians, from exact histograms, with the floors as scale."""
     long = fit.select("__g", F.stack(F.lit(5), *[c for i in DIM for c in (F.lit(i), F.col(f"__x{i}"))]).alias("dim", "v"))
-    counts = long.groupBy("__g", "dim", "v").agg(F.count(F.lit(1)).alias("n"))
+    # dealt by value: else the window's exchange would bring every task's partial counts of a group to one task
+    counts = long.groupBy("__g", "dim", "v").agg(F.count(F.lit(1)).alias("n")).repartition("__g", "dim", "v")
     w = Window.partitionBy("__g", "dim")
     met = counts.select("__g", "dim", "v", F.sum("n").over(w.orderBy("v")).alias("upto"), F.sum("n").over(w).alias("n"))
     middle = met.filter(2 * F.col("upto") >= F.col("n")).groupBy("__g").agg(*[(F.min(F.when(F.col("dim") == i, F.col("v"))) / F.lit(float(UNIT))).alias(f"__m{i}") for i in DIM])
@@ -117,7 +118,7 @@ def _medians(fit: DataFrame) -> DataFrame:
 def _concentrate(fit: DataFrame, stats: DataFrame) -> DataFrame:
     """One step: mean and Cholesky factor of the covariance of the documents nearest under ``stats``."""
     binned = _distance(fit, stats).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(FAR)) * BINS).cast("long"))
-    counts = binned.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = binned.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("n")).repartition("__g", "__bin")
     w = Window.partitionBy("__g")
     met = counts.select("__g", "__bin", F.sum("n").over(w.orderBy("__bin")).alias("upto"), F.sum("n").over(w).alias("n"))
     # written first: a row per group, so that its size is known when the rows meet it, and no group is dealt to one task
