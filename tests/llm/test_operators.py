@@ -333,6 +333,24 @@ def test_components(spark, monkeypatch, chunk, hot, group):
     assert rows_of(jaccard.link_components(table(spark, rows), chunk_shingles=chunk)) == brute_components(rows)
 
 
+def clause_texts():
+    """Pairs of texts that are alike with each other only, though many others have each of their shingles."""
+    rng, rows = random.Random(7), []
+    clauses = [wordy(500 + k, 12) for k in range(30)]
+    for k in range(120):
+        some = rng.sample(clauses, 10)
+        rows += [(10 * k + i, " and so it is that ".join(some[i:])) for i in range(2)]
+    return rows
+
+
+@pytest.mark.parametrize("hot,group", [(0.3, 4096), (0.3, 8)])
+def test_clauses_of_many_texts(spark, monkeypatch, hot, group):
+    monkeypatch.setattr(jaccard, "HOT_TIMES", hot)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rows = clause_texts()
+    assert rows_of(jaccard.link_components(table(spark, rows))) == brute_components(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = ODD + near_copies()
     kept = jaccard.keep_one(table(spark, rows))
