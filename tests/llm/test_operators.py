@@ -343,7 +343,7 @@ def clause_texts():
     return rows
 
 
-@pytest.mark.parametrize("hot,group", [(0.3, 4096), (0.3, 8)])
+@pytest.mark.parametrize("hot,group", [(0.3, 4096), (0.3, 8), (1e9, 8)])
 def test_clauses_of_many_texts(spark, monkeypatch, hot, group):
     monkeypatch.setattr(jaccard, "HOT_TIMES", hot)
     monkeypatch.setattr(jaccard, "GROUP", group)
