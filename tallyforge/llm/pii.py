@@ -10,11 +10,14 @@ addresses that are spelled out.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +25,11 @@ from pyspark.sql import types as T
 from .common import need, ready, stash, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this many distinct seeds, this share of all seed contexts (so at most 1 / share patterns of
-#: either width are ever sent to the workers), this score after these rounds, and these many code points at most.
-MIN_INSTANCES, MIN_SHARE, MIN_SCORE, ROUNDS, MAX_CONTEXT = 3, 1e-4, 0.75, 3, 64
+#: A pattern needs this many distinct seeds, this score after these rounds, and these many code points at most.
+MIN_INSTANCES, MIN_SCORE, ROUNDS, MAX_CONTEXT = 3, 0.75, 3, 64
+#: So many candidate patterns are sent to the workers; where there are more, what the texts hold is joined with them,
+#: after a bitmap of so many bits has dropped most of what is no pattern.
+MOST_SENT, FILTER_BITS = 20_000, 1 << 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -180,6 +185,77 @@ def discoveries(text: str, patterns: frozenset, base: list[tuple[int, int, int]]
     return found
 
 
+_MET = pa.schema([("doc", pa.int64()), ("k", pa.int32()), ("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()), ("instance", pa.string()), ("n", pa.int64())])
+
+
+def _may_edges(bits: np.ndarray):
+    """As :func:`_edges`, for contexts that the bitmap holds: how often each is met (k: -1), and what each is followed
+    by, by document and in the order in which :func:`discoveries` looks; spans that touch a base span are left out."""
+
+    def may(context: str) -> bool:
+        at = zlib.crc32(context.encode()) % FILTER_BITS
+        return bool(int(bits[at >> 5]) >> (at & 31) & 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = TaskContext.get().partitionId() << 40
+        for b in batches:
+            seen: Counter = Counter()
+            rows = []
+            for text in texts(b.column(0)):
+                doc += 1
+                words = _words(text)
+                seen.update(words)
+                seen.update(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))
+                base = base_spans(text)
+                starts, ends = [x[0] for x in base], [0]
+                for x in base:
+                    ends.append(max(ends[-1], x[2]))
+                for k, kind in enumerate(KINDS):
+                    for place, (s, e) in enumerate(_loose(kind, text)):
+                        if (s and text[s - 1].isalnum()) or text[e : e + 1].isalnum() or ends[bisect_left(starts, e)] > s:
+                            continue
+                        rows += [(doc, k, place, s, e, c, text[s:e], 1) for c in _contexts(text, s) if may(c)]
+            rows += [(0, -1, 0, 0, 0, c, None, n) for c, n in seen.items() if may(c)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MET)], schema=_MET)
+
+    return run
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that follow a pattern, in order of document, kind and place: those that touch no span found before."""
+    key, span, kept = None, None, False
+    starts, ends = [], [0]
+    for b in batches:
+        rows = []
+        for doc, k, place, s, e, c, instance, n in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            if doc != key:
+                key, span, starts, ends = doc, None, [], [0]
+            if (k, place) != span:  # a span has a row for each of its patterns
+                span, kept = (k, place), ends[bisect_left(starts, e)] <= s
+                if kept:
+                    starts, ends = _add(starts, ends, s, e)
+            if kept:
+                rows.append((c, KINDS[k], instance, n))
+        yield pa.RecordBatch.from_pydict({f: [r[i] for r in rows] for i, f in enumerate(("context", "kind", "instance", "n"))}, schema=pa.schema([("context", pa.string()), ("kind", pa.string()), ("instance", pa.string()), ("n", pa.int64())]))
+
+
+def _joined(rows: DataFrame, wide: DataFrame, seeds: DataFrame, shape: str) -> DataFrame:
+    """What :func:`_edges` gives for the patterns ``wide``, by joins: they stay on the cluster, whatever their number."""
+    at = F.crc32(F.col("context").cast("binary")) % FILTER_BITS
+    held = wide.select(F.shiftright(at, 5).alias("w"), (at % 32).cast("int").alias("b")).distinct()
+    bits = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    for r in held.groupBy("w").agg(F.sum(F.expr("shiftleft(1L, b)")).alias("bits")).collect():  # at most FILTER_BITS / 32 rows
+        bits[r["w"]] = r["bits"]
+    may = stash(rows.mapInArrow(_may_edges(bits), "doc long, k int, place int, start int, end int, context string, instance string, n long"))
+    met = may.filter("k < 0").groupBy("context").agg(F.sum("n").alias("n")).join(wide, "context").select("context", "kind", F.lit(None).cast("string").alias("instance"), "n")
+    kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("k") + 1)
+    follow = may.filter("k >= 0").withColumn("kind", kind).join(wide, ["context", "kind"], "left_semi").select(*_MET.names)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = follow.repartition(parts, "doc").sortWithinPartitions("doc", "k", "place").mapInArrow(_settle, shape)
+    known = seeds.join(wide, ["context", "kind"], "left_semi").select("context", "kind", "instance", "n")
+    return met.unionByName(found).unionByName(known)
+
+
 def _add(starts: list[int], ends: list[int], s: int, e: int) -> tuple[list[int], list[int]]:
     both = sorted([*zip(starts, ends[1:], strict=True), (s, e)])
     out = [0]
@@ -188,19 +264,23 @@ def _add(starts: list[int], ends: list[int], s: int, e: int) -> tuple[list[int],
     return [x for x, _ in both], out
 
 
-def learn_patterns(docs: DataFrame, text_col: str = "text", *, min_instances: int = MIN_INSTANCES, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> frozenset[tuple[str, str]]:
-    """(context, kind) patterns of high confidence over all of ``docs``; at most 2 / ``min_share`` of them."""
+def learn_patterns(docs: DataFrame, text_col: str = "text", *, min_instances: int = MIN_INSTANCES, min_score: float = MIN_SCORE, rounds: int = ROUNDS, most_sent: int = MOST_SENT) -> frozenset[tuple[str, str]]:
+    """(context, kind) patterns of high confidence over all of ``docs``; of over ``most_sent`` candidates only
+    those of high confidence leave the cluster."""
     need(docs, text_col)
     ready(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"))
     shape = "context string, kind string, instance string, n long"
     seeds = stash(rows.mapInArrow(_seed_contexts, shape).groupBy("context", "kind", "instance").agg(F.sum("n").alias("n")))
-    total = seeds.agg(F.sum("n")).first()[0] or 0
-    wide = seeds.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n")).filter((F.col("instances") >= min_instances) & (F.col("n") >= min_share * total))
-    first = frozenset((r["context"], r["kind"]) for r in wide.select("context", "kind").collect())  # bounded by min_share
-    if not first:
-        return first
-    graph = stash(rows.mapInArrow(_edges(first), shape).groupBy("context", "kind", "instance").agg(F.sum("n").alias("n")))
+    wide = stash(seeds.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("instances")).filter(F.col("instances") >= min_instances).select("context", "kind"))
+    some = wide.limit(most_sent + 1).collect()
+    if not some:
+        return frozenset()
+    if len(some) > most_sent:
+        every = _joined(rows, wide, seeds, shape)
+    else:
+        every = rows.mapInArrow(_edges(frozenset((r["context"], r["kind"]) for r in some)), shape)
+    graph = stash(every.groupBy("context", "kind", "instance").agg(F.sum("n").alias("n")))
     met = graph.filter("instance is null").select("context", "kind", F.col("n").alias("met"))
     edges = graph.filter("instance is not null")
     known = seeds.select("kind", "instance").distinct().withColumn("seed", F.lit(True))

@@ -278,6 +278,15 @@ def test_contexts_discover_what_rules_miss(spark):
     assert got[1].masked == "" and got[2].spans == ""
 
 
+def test_rare_patterns_are_learned_in_large_tables(spark):
+    rare = [(k, f"hotline: +4930123456{k}0 or hotline: 030 123 45{k} 77, 12.34.56.78 x, srv 10,0,0,{k} srv 10.0.0.{k}") for k in range(9)]
+    crowd = [(100 + k, " ".join(f"w a{k}b{j}@b.co" for j in range(1500))) for k in range(40)]
+    docs = table(spark, rare + crowd)
+    got = pii.learn_patterns(docs, min_score=0.5)
+    assert ("hotline:", "phone") in got
+    assert pii.learn_patterns(docs, min_score=0.5, most_sent=1) == got
+
+
 def test_pii_of_nothing(spark):
     assert pii.find_pii(table(spark, [])).count() == 0
     assert pii.find_pii(table(spark, ODD)).count() == len(ODD)
