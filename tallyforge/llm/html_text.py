@@ -55,6 +55,7 @@ class _Lines(HTMLParser):
         self.lines: list[_Line] = []
         self.stack: list[tuple[str, int, int]] = []  # name, own number, whether it is no article (2: articles in it neither)
         self.n = self.tags = self.linked = self.links = self.raw = 0
+        self.head = False  # an open head, whose end tag may be missing
         self.buffer: list[str] = []
 
     def _flush(self) -> None:
@@ -72,7 +73,9 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in _RAW:
-            self.raw += tag not in _VOID
+            if tag != "head" or not self.head:
+                self.raw += tag not in _VOID
+            self.head |= tag == "head"
             return
         if tag == "a":
             self.links += 1
@@ -85,6 +88,8 @@ class _Lines(HTMLParser):
             return
         self._flush()
         self.links = 0
+        if self.head:  # the first block ends it
+            self.raw, self.head = max(0, self.raw - 1), False
         if tag == "body":
             self.raw = 0
         if tag in ("article", "main"):  # nothing that was left open before it holds the page's article
@@ -113,12 +118,17 @@ class _Lines(HTMLParser):
         self.stack.append((tag, self.n, out))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag in _RAW:  # has no end tag
+            self.tags += 1
+            return
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in _RAW:
-            self.raw = max(0, self.raw - 1)
+            if tag != "head" or self.head:
+                self.raw = max(0, self.raw - 1)
+            self.head &= tag != "head"
             return
         if tag == "a":
             self.links = max(0, self.links - 1)

@@ -412,6 +412,12 @@ def test_article(spark):
     assert [(r.text, r.n_chars) for r in got] == [(WANT, len(WANT)), ("", 0), ("", 0)]
 
 
+@pytest.mark.parametrize("odd", ["<svg/>", "<iframe/>", "<object/>", "<video/>", "<head><meta charset='x'>", "<head><title>t</title>"])
+def test_raw_elements_without_an_end(odd):
+    told = "This sentence is the article of the page. " * 5
+    assert html_text.main_text(f"{odd}<div><p>{told}</p></div>") == told.strip()
+
+
 def test_smoothing():
     s = html_text.smooth([0, 0, 10, 0, 0], 1.0)
     assert s[2] == max(s) and s[1] == pytest.approx(s[3]) and html_text.smooth([4.0], 1.0) == pytest.approx([4.0])
