@@ -21,7 +21,7 @@ scan FILE...             count the indicators in raw logs"""
 
 def run(spark, args: list[str]) -> str:
     command, rest = (args[0].lower(), args[1:]) if args else ("help", [])
-    show = lambda df: "\n".join(str(r.asDict()) for r in df.limit(1000).collect())
+    show = lambda df: "\n".join(str(r.asDict()) for r in df.toLocalIterator())
     if command == "status" and len(rest) == 1:
         return show(status(spark, rest[0]))
     if command == "query" and rest:
