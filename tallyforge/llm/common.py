@@ -58,6 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def drop(df: DataFrame) -> None:
+    """Delete what :func:`stash` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; partitions keep their rows and order."""
     shared_dir(df.sparkSession)

@@ -224,21 +224,50 @@ def test_repeats_in_pieces(monkeypatch):
     data = rng.integers(97, 100, 5000).astype(np.uint8)
     starts = set()
     for i, j, a, e in repeats._stretches(np.array([0, 100, 150, 5000]), 60):
-        key, whole, first, more, text = repeats.runs_of(data[a:e], np.clip(np.array([0, 100, 150, 5000])[i : j + 1], a, e) - a, 60, 20)
+        key, whole, first, more, back, text = repeats.runs_of(data[a:e], np.clip(np.array([0, 100, 150, 5000])[i : j + 1], a, e) - a, 60, 20)
         for f, m in zip(first, more, strict=True):
             starts |= set(range(f + a, f + a + m + 1))
     assert starts == set(range(0, 41)) | set(range(150, 4941))
 
 
-def test_index_family_levels():
-    rng = np.random.default_rng(1)
-    x, y = rng.integers(0, 300, 1000).astype(np.uint64), rng.integers(0, 2, 1000).astype(np.uint64)
-    index = repeats.LevelIndex()
-    for a in range(0, 1000, 37):
-        index.add(x[a : a + 37], y[a : a + 37])
-    seen = collections.Counter(zip(x.tolist(), y.tolist(), strict=True))
-    assert index.matched.tolist() == [seen[k] > 1 for k in zip(x.tolist(), y.tolist(), strict=True)]
-    assert len(index.levels) <= 10
+def test_scan_finds_equal_windows():
+    """Against every window of every suffix, also of suffixes that end early on either side."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        before, after = ("".join(rng.choice("ab") for _ in range(n)).encode() for n in (8, 14))
+        low = rng.randrange(4)
+        high = low + rng.randrange(4)
+        rows.append((b"anchor" + after[: 14 - low], before[:high], low, high, k % 7, k))
+    table = repeats.SuffixTable(sorted(rows))
+    window = lambda i, b: (b, table.before[i][:b], table.after[i][: 20 - b])
+    seen = collections.Counter(window(i, b) for i in range(300) for b in range(table.low[i], table.high[i] + 1))
+    found = repeats.scan(table, 20, 6)
+    assert found.any() and not found.all()
+    for i in range(300):
+        for b in range(15):
+            assert found[i, b] == (table.low[i] <= b <= table.high[i] and seen[window(i, b)] > 1)
+
+
+def test_family_is_logarithmic_and_ordered(spark):
+    """Batches, one after another: levels shrink geometrically, are in order, and each batch meets all before it."""
+    rng = random.Random(8)
+    family = repeats.SuffixFamily(spark, length=20, anchor=6, buckets=3)
+    rows = [(k % 5, k, b"anchor%d" % (k % 5) + bytes(rng.choice(b"ab") for _ in range(13)), bytes(rng.choice(b"ab") for _ in range(3)), 0, 3) for k in range(70)]
+    window = lambda r, b: (b, r[3][:b], r[2][: 20 - b])
+    seen = collections.Counter(window(r, b) for r in rows for b in range(4))
+    found = set()
+    for a in range(0, 70, 10):
+        some = spark.createDataFrame([(r[0], r[1], bytearray(r[2]), bytearray(r[3]), r[4], r[5]) for r in rows[a : a + 10]], "key long, whole long, after binary, before binary, low int, high int")
+        found |= {(r.whole, 3 - i) for r in family.add(some).collect() for i in range(r.first, r.last + 1)}
+        assert [n for n, *_ in family.levels] == [[10], [20], [20, 10], [40], [40, 10], [40, 20], [40, 20, 10]][a // 10]
+    assert found == {(r[1], b) for r in rows for b in range(4) if seen[window(r, b)] > 1}
+    for _, level, _ in family.levels:
+        by = collections.defaultdict(list)
+        for r in level.orderBy("bucket", "rank").collect():
+            by[r.bucket].append((bytes(r.after), bytes(r.before)))
+        assert all(x == sorted(x) for x in by.values())
+    family.close()
 
 
 # 6: personal data
