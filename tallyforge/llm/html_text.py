@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; block-level tags cut the page into lines.  Each line has a
 text-to-tag ratio; the ratios are smoothed with a Gaussian and lines above a threshold cluster into content
-regions.  The element that holds most of the content clustered so gives the article: every line in it that no
-menu, notice, form or comment section holds, so that short paragraphs stay.
+regions.  The innermost element that holds most of the text clustered so gives the article (if it lies in an article or
+main element, that one does): every line in it that no menu, notice, form or comment section holds, so that short
+paragraphs stay.
 """
 
 from __future__ import annotations
@@ -171,6 +172,25 @@ def content_lines(lines: list[_Line], sigma: float = SIGMA, threshold: float = T
     return [s >= level and not x.out for s, x in zip(smooth(ratios, sigma), lines, strict=True)]
 
 
+def chosen_scope(lines: list[_Line], mass: dict[tuple, int], total: int) -> set[tuple] | None:
+    """The elements that hold the article, from the clustered text in each: the innermost that holds most of it.
+
+    Tags only refine the choice: inside an article or main element all of that element is meant, and where several
+    articles share the text, all of those that have some of it.  None: no element holds enough.
+    """
+    inner = [e for e in mass if mass[e] >= HOLDS * total]
+    if inner:
+        best = max(inner, key=lambda e: e[1])
+        path = next(x.path for x in lines if best in x.path)
+        around = [e for e in path[: path.index(best) + 1] if e[0] in ("article", "main")]
+        if around:
+            return {around[-1]}
+    several = {e for e in mass if e[0] == "article"}
+    if sum(mass[e] for e in several) >= HOLDS * total:  # that lie side by side
+        return several
+    return {best} if inner else None
+
+
 def main_text(html: str) -> str:
     """The article of a page; the empty text if there is none.  Lines are joined by a newline."""
     parser = _Lines()
@@ -189,15 +209,7 @@ def main_text(html: str) -> str:
                 mass[element] = mass.get(element, 0) + len(x.text)
     if not total:
         return ""
-    named = [e for e in mass if e[0] in ("article", "main") and mass[e] >= HOLDS * total]
-    several = [e for e in mass if e[0] == "article"]
-    if named:
-        scope = {max(named, key=lambda e: e[1])}
-    elif several and sum(mass[e] for e in several) >= HOLDS * total:
-        scope = set(several)
-    else:
-        inner = [e for e in mass if mass[e] >= HOLDS * total]
-        scope = {max(inner, key=lambda e: e[1])} if inner else None
+    scope = chosen_scope(lines, mass, total)
     held = [not x.out and (scope is None or not scope.isdisjoint(x.path)) for x in lines]
     if scope is None or next(iter(scope))[0] not in ("article", "main"):
         # no element says where the article ends: from the first content line (and a heading before it) to the last
@@ -211,7 +223,7 @@ def main_text(html: str) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html", *, text_col: str = "text") -> DataFrame:
     """``pages`` with the main text instead of the html, and n_chars, its code points.
 
-    A null or empty page, and one without an article, gives the empty text.  Broken and cut-off markup is read
+    A null or empty page, and one without an article, gives the empty text; an empty table gives no rows.  Broken and cut-off markup is read
     as far as it goes.  Columns named ``text_col`` or n_chars are replaced; others stay; repeated rows repeat.
     """
     need(pages, html_col)

@@ -439,6 +439,7 @@ def test_article(spark):
     rows = spark.createDataFrame([(1, "u", PAGE % BODY, "x"), (2, "u", None, "y"), (2, "u", None, "y")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(rows).orderBy("page_id").collect()
     assert [(r.text, r.n_chars) for r in got] == [(WANT, len(WANT)), ("", 0), ("", 0)]
+    assert html_text.extract_text(rows.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("odd", ["<svg/>", "<iframe/>", "<object/>", "<video/>", "<head><meta charset='x'>", "<head><title>t</title>"])
@@ -447,6 +448,44 @@ def test_raw_elements_without_an_end(odd):
     assert html_text.main_text(f"{odd}<div><p>{told}</p></div>") == told.strip()
 
 
+PLAIN = """<html><body><div><div><a href=1>Home</a></div><div><a href=2>News of the world</a></div><div><a href=3>All of our weather</a></div>%s</div>
+<div><div>A headline</div>%s</div><div>%s<div><a href=9>Imprint and legal notes</a></div></div></body></html>"""
+
+
+def test_clusters_decide_where_no_tag_does(monkeypatch):
+    """Pages of nothing but div elements: with every line as content, the links around the article come along."""
+    told = ["The first paragraph of the article is long enough to be content, and has no link in it at all.", "So has the second one, which goes on for a while before it ends, as the others do.", "Short.", "The last paragraph closes the article with as many words as the first one had."]
+    links = lambda a, n: "".join(f"<div><a href={i}>A teaser that leads to some other page, number {i}</a></div>" for i in range(a, a + n))
+    page = PLAIN % (links(10, 6), "".join(f"<div>{t}</div>" for t in told), links(30, 9))
+    want = "\n".join(["A headline", *told])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "content_lines", lambda lines: [True] * len(lines))
+    assert html_text.main_text(page) != want
+
+
+def plain_article(page):
+    """Another way to the article of a page that marks it: text between its tags, cut at block tags."""
+    import html as h
+
+    inside = re.search(r"<article\b[^>]*>(.*?)(?:</article>|<footer|\Z)", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|section|table|tr|td|blockquote)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inside))
+    lines = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_against_another_extractor():
+    import os
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(sf):
+        pytest.skip("the driver's tables are not here")
+    pages = duckdb.sql(f"SELECT html FROM '{sf}' WHERE html IS NOT NULL").fetchall()
+    assert len(pages) > 200
+    assert [html_text.main_text(p) for (p,) in pages] == [plain_article(p) for (p,) in pages]
+
+
 def test_smoothing():
     s = html_text.smooth([0, 0, 10, 0, 0], 1.0)
     assert s[2] == max(s) and s[1] == pytest.approx(s[3]) and html_text.smooth([4.0], 1.0) == pytest.approx([4.0])
