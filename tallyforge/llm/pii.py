@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from .common import need, ready, stash, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this many distinct seeds, this score after these rounds, and these many code points at most.
+#: A pattern needs this many distinct seeds and this score after these rounds; a word in it counts by its last code
+#: points, so many.
 MIN_INSTANCES, MIN_SCORE, ROUNDS, MAX_CONTEXT = 3, 0.75, 3, 64
 #: So many candidate patterns are sent to the workers; where there are more, what the texts hold is joined with them,
 #: after a bitmap of so many bits has dropped most of what is no pattern.
@@ -36,12 +37,11 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # no later start in a run of digits can match
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+?)\s*\Z")
+_WORD = re.compile(r"\S+")
 #: What an identifier of a kind may look like beyond the base rules.  Rare marks are sought first, and what stands
 #: around them is matched then.
 _AT = re.compile(r"@|\(at\)|\[at\]|\sat\s")
-_NAME = re.compile(r"[\w.%+-]{1,64}\s?\Z")
-_HOST = re.compile(r"\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{1,63})+")
+_HOST = re.compile(r"\s?[\w-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]++)+")
 _NUMBERS = {
     "ip": re.compile(r"[0-9]{1,3}(?:[.,][0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9]){11,18}"),
@@ -54,12 +54,15 @@ def _loose(kind: str, text: str) -> Iterator[tuple[int, int]]:
     if kind == "email":
         done = 0
         for m in _AT.finditer(text):
-            low = max(done, m.start() - 65)
-            name = _NAME.search(text[low : m.start()])
-            host = _HOST.match(text, m.end()) if name else None
+            end = m.start()
+            end -= end > done and text[end - 1].isspace()
+            low = end
+            while low > done and (text[low - 1].isalnum() or text[low - 1] in "_.%+-"):
+                low -= 1
+            host = _HOST.match(text, m.end()) if low < end else None
             if host:
                 done = host.end()
-                yield low + name.start(), done
+                yield low, done
         return
     for m in _NUMBERS[kind].finditer(text):
         yield m.span()
@@ -106,14 +109,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _contexts(text: str, start: int) -> list[str]:
-    """The word before a place, and the two words; digits read as 9."""
-    m = _BEFORE.search(text[max(0, start - 2 * MAX_CONTEXT) : start])
-    if not m:
-        return []
-    last = m[2].lower()
-    both = [last] + ([f"{m[1].lower()} {last}"] if m[1] else [])
-    return [re.sub(r"[0-9]+", "9", c) for c in both if len(c) <= MAX_CONTEXT]
+def _shape(word: str) -> str:
+    """A word as patterns hold it: its end in small letters, digits read as 9."""
+    return re.sub(r"[0-9]+", "9", word[-MAX_CONTEXT:].lower())
+
+
+class _Before:
+    """The words before any place of a text, which is cut into words once."""
+
+    def __init__(self, text: str):
+        self.text, self.starts = text, None
+
+    def __call__(self, start: int) -> list[str]:
+        """The word before a place (or the part of a word that leads to it), and the two words."""
+        if self.starts is None:
+            spans = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts, self.ends = [x[0] for x in spans], [x[1] for x in spans]
+        i = bisect_left(self.starts, start) - 1
+        if i < 0:
+            return []
+        last = self._word(i, min(self.ends[i], start))
+        return [last, f"{self._word(i - 1, self.ends[i - 1])} {last}"] if i else [last]
+
+    def _word(self, i: int, end: int) -> str:
+        return _shape(self.text[max(self.starts[i], end - MAX_CONTEXT) : end])
 
 
 def _flat(spans) -> str:
@@ -124,15 +143,15 @@ def _seed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         rows: Counter = Counter()
         for text in texts(b.column(0)):
+            before = _Before(text)
             for s, k, e in base_spans(text):
-                for c in _contexts(text, s):
+                for c in before(s):
                     rows[c, KINDS[k], text[s:e]] += 1
         yield pa.RecordBatch.from_pydict({"context": [r[0] for r in rows], "kind": [r[1] for r in rows], "instance": [r[2] for r in rows], "n": list(rows.values())}, schema=pa.schema([("context", pa.string()), ("kind", pa.string()), ("instance", pa.string()), ("n", pa.int64())]))
 
 
 def _words(text: str) -> list[str]:
-    text = text.lower()
-    return re.sub(r"[0-9]+", "9", text).split()
+    return [_shape(w) for w in text.split()] if len(max(text.split(), key=len, default="")) > MAX_CONTEXT else re.sub(r"[0-9]+", "9", text.lower()).split()
 
 
 def _edges(patterns: frozenset):
@@ -155,8 +174,9 @@ def _edges(patterns: frozenset):
                     if (w := f"{x} {y}") in kinds:
                         for k in kinds[w]:
                             rows[w, k, None] += n
+                before = _Before(text)
                 for s, k, e in discoveries(text, patterns, base_spans(text), known=True):
-                    for c in _contexts(text, s):
+                    for c in before(s):
                         if (c, KINDS[k]) in patterns:
                             rows[c, KINDS[k], text[s:e]] += 1
             yield pa.RecordBatch.from_pydict({"context": [r[0] for r in rows], "kind": [r[1] for r in rows], "instance": [r[2] for r in rows], "n": list(rows.values())}, schema=pa.schema([("context", pa.string()), ("kind", pa.string()), ("instance", pa.string()), ("n", pa.int64())]))
@@ -169,6 +189,7 @@ def discoveries(text: str, patterns: frozenset, base: list[tuple[int, int, int]]
     found = [x for x in base] if known else []
     if not patterns:
         return found
+    before = _Before(text)
     starts, ends = [b[0] for b in base], [0]
     for b in base:
         ends.append(max(ends[-1], b[2]))
@@ -179,7 +200,7 @@ def discoveries(text: str, patterns: frozenset, base: list[tuple[int, int, int]]
         for s, e in _loose(kind, text):
             if (s and text[s - 1].isalnum()) or text[e : e + 1].isalnum() or not free(s, e):
                 continue
-            if any((c, kind) in patterns for c in _contexts(text, s)):
+            if any((c, kind) in patterns for c in before(s)):
                 found.append((s, k, e))
                 starts, ends = _add(starts, ends, s, e)
     return found
@@ -206,7 +227,7 @@ def _may_edges(bits: np.ndarray):
                 words = _words(text)
                 seen.update(words)
                 seen.update(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))
-                base = base_spans(text)
+                base, before = base_spans(text), _Before(text)
                 starts, ends = [x[0] for x in base], [0]
                 for x in base:
                     ends.append(max(ends[-1], x[2]))
@@ -214,7 +235,7 @@ def _may_edges(bits: np.ndarray):
                     for place, (s, e) in enumerate(_loose(kind, text)):
                         if (s and text[s - 1].isalnum()) or text[e : e + 1].isalnum() or ends[bisect_left(starts, e)] > s:
                             continue
-                        rows += [(doc, k, place, s, e, c, text[s:e], 1) for c in _contexts(text, s) if may(c)]
+                        rows += [(doc, k, place, s, e, c, text[s:e], 1) for c in before(s) if may(c)]
             rows += [(0, -1, 0, 0, 0, c, None, n) for c, n in seen.items() if may(c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MET)], schema=_MET)
 
@@ -303,7 +324,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", *, patterns: frozenset | N
     with ``masked_col`` also the text in which each span is replaced by its kind in brackets.
 
     A null text is the empty text.  Spans count code points, end exclusive.  Patterns are learned from ``docs``
-    unless given.  Columns of these names are replaced; others stay.  Repeated rows repeat their result.
+    unless given.  Columns of these names are replaced; others stay.  Repeated rows repeat their result.  An empty
+    table gives no rows.
     """
     need(docs, text_col)
     if patterns is None:
