@@ -44,7 +44,7 @@ class ByteBpe:
     _plain = re.compile(r"[\n\x20-\x7e\xa1-ɏΆ-ώЀ-џ‐-‧‰-›€]*")
     _blank = re.compile(r"\s{256}")
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, names_are_text: bool = False):
         import base64
 
         import tiktoken
@@ -53,6 +53,7 @@ class ByteBpe:
         self.slow = Tokenizer.from_file(json_path)
         self.slow.no_truncation()
         self.slow.no_padding()
+        self.slow.encode_special_tokens = names_are_text  # else their names in a text become special tokens
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -63,13 +64,13 @@ class ByteBpe:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-def byte_bpe(json_path: str | None = None, ranks_path: str | None = None) -> Callable[[], ByteBpe]:
+def byte_bpe(json_path: str | None = None, ranks_path: str | None = None, *, names_are_text: bool = False) -> Callable[[], ByteBpe]:
     """A maker of the encoder, run once in each worker; the paths default to the installed vocabulary files."""
 
     def make() -> ByteBpe:
         import public_tokenizers as P
 
-        return ByteBpe(json_path or P.path("byte_bpe_50k.json"), ranks_path or P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        return ByteBpe(json_path or P.path("byte_bpe_50k.json"), ranks_path or P.path("byte_bpe_50k.tiktoken"), P.PATTERN, names_are_text)
 
     return make
 

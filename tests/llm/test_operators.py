@@ -161,15 +161,27 @@ def test_stitching_of_summaries():
 # 4: token counts
 
 
-@pytest.mark.parametrize("block", [2, 64, 1 << 19])
-def test_token_counts(spark, block):
-    rows = ODD + [(200 + i, wordy(i, i % 50)) for i in range(60)]
-    at = token_files.flat_copy(table(spark, rows))
+@pytest.fixture
+def ranges(spark, request):
+    """Files are read in ranges of so many bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    for n, v in zip(names, (request.param, 1, 1), strict=True):
+        spark.conf.set(n, v)
+    yield
+    for n in names:
+        spark.conf.unset(n)
+
+
+@pytest.mark.parametrize("ranges,block", [(700, 64), (1 << 27, 1 << 19)], indirect=["ranges"])
+def test_token_counts(spark, ranges, block):
+    """Every document once, also those that name the separator."""
+    rows = ODD + [(200 + i, wordy(i, i % 50)) for i in range(60)] + [(300, "a <|endoftext|> b"), (301, "<|endoftext|>")]
+    at = token_files.flat_copy(table(spark, rows).coalesce(2))
     got = token_files.count_tokens(spark, at, block_bytes=block).collect()
     t = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
-    counts = [len([x for x in t.encode(s or "", add_special_tokens=False).ids]) for _, s in rows if "<|endoftext|>" not in (s or "")]
-    mine = collections.Counter(r.n_tokens for r in got)
-    assert not collections.Counter(counts) - mine and all(r.complete for r in got)
+    t.encode_special_tokens = True
+    want = collections.Counter(len(t.encode(s or "", add_special_tokens=False).ids) for _, s in rows)
+    assert collections.Counter(r.n_tokens for r in got) == want and all(r.complete for r in got)
     by_file = collections.defaultdict(list)
     for r in got:
         by_file[r.path].append(r)
@@ -177,18 +189,36 @@ def test_token_counts(spark, block):
         rs.sort(key=lambda r: r.doc_no)
         assert [r.doc_no for r in rs] == list(range(len(rs)))
         assert all(x.start + x.n_tokens + 1 == y.start for x, y in zip(rs, rs[1:], strict=False))
-
-
-def test_token_files_that_end_early(spark, tmp_path):
-    end, ids = token_files.END_OF_DOCUMENT, [5, 6, token_files.END_OF_DOCUMENT, token_files.END_OF_DOCUMENT, 7, 8, 9]
-    (tmp_path / "a.bin").write_bytes(np.array(ids, dtype="<u2").tobytes())
-    (tmp_path / "b.bin").write_bytes(b"")
-    got = token_files.count_tokens(spark, str(tmp_path), block_bytes=4).orderBy("doc_no").collect()
-    assert [(r.doc_no, r.start, r.n_tokens, r.complete) for r in got] == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 3, False)]
+    assert token_files.count_tokens(spark, token_files.flat_copy(table(spark, []))).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [3, 40, 1 << 27], indirect=True)
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_token_files_of_random_ids(spark, ranges, width, tmp_path):
+    """Against a plain loop; the identifier's bytes also stand across two ids, and a file may end without it."""
+    rng, want = np.random.default_rng(width), set()
+    end = 0x0B07 if width > 1 else 7
+    for k, n in enumerate((0, 1, 5, 400, 1500)):
+        ids = rng.choice([7, 11, 0x070B, 0x0B07, 0x0700, 10] if width > 1 else [7, 11, 10, 5], n)
+        raw = b"".join(int(i).to_bytes(width, "little") for i in ids)
+        (tmp_path / f"f{k}.bin").write_bytes(raw)
+        at = no = 0
+        for i, x in enumerate(ids):
+            if x == end:
+                want.add((k, no, at, i - at, True))
+                at, no = i + 1, no + 1
+        if at < n:
+            want.add((k, no, at, n - at, False))
+    got = token_files.count_tokens(spark, str(tmp_path), end_id=end, width=width, block_bytes=50).collect()
+    assert {(int(r.path[-5]), r.doc_no, r.start, r.n_tokens, r.complete) for r in got} == want and len(got) == len(want)
+
+
+def test_token_files_that_are_broken(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\x01")
     with pytest.raises(Exception, match="not whole ids"):
         token_files.count_tokens(spark, str(tmp_path)).collect()
-    assert end == 50256
+    with pytest.raises(Exception, match="holds the end-of-document id"):
+        token_files.write_flat(table(spark, [(1, "x")]), f"{tmp_path}/flat", make=lambda: lambda t: np.array([token_files.END_OF_DOCUMENT]))
 
 
 # 5: repeats
