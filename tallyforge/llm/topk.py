@@ -7,7 +7,9 @@ best bound first; a stored parent distance rules an entry out by the triangle in
 is computed.  Bounds are floating point with a margin; scores are exact integers.
 
 Trees are built where the rows lie (a page of rows at a time, no shuffle), stored as blobs, and met by the
-queries in blocks: a block goes to each group of trees once, so a task holds one tree and one block.
+queries in blocks: a block goes to each group of trees once, so a task holds a few trees and one block.  A query visits
+the trees of a group in order of the best score that each can hold, takes along what it has found, and skips a tree
+that cannot beat it.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, need, ready, stash
 
-#: Rows in a tree, entries in a node, queries in a block, trees that a block meets in one task, results of a query.
-TREE_ROWS, NODE_ROWS, BLOCK_QUERIES, TREES_TOGETHER, TOP = 8192, 64, 512, 4, 10
+#: Rows in a tree, entries in a node, queries in a block, trees that a block meets in one task, blocks that a group of
+#: trees meets in one task, results of a query.
+TREE_ROWS, NODE_ROWS, BLOCK_QUERIES, TREES_TOGETHER, BLOCKS_TOGETHER, TOP = 8192, 64, 512, 4, 64, 10
 SCALE = 1024
 
 
@@ -39,6 +42,9 @@ class MTree:
         self.longest2 = float(self.norm2.max())
         self.points = np.hstack([exact, np.sqrt(np.maximum(self.longest2 - self.norm2, 0.0))[:, None]])
         self.nodes: list[tuple] = []  # (leaf, members, routing vectors, radii, distances to the parent's routing vector)
+        self.centre = self.points.mean(0)
+        self.radius = float(np.linalg.norm(self.points - self.centre, axis=1).max())
+        self.scored = 0  # rows whose score a search has computed
         rng = np.random.default_rng(len(ids))
         self.root = self._build(np.arange(len(ids)), None, node_rows, rng)
 
@@ -69,14 +75,28 @@ class MTree:
         self.nodes.append((False, np.array(children), routing[kept], radii, to_parent))
         return len(self.nodes) - 1
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id; rows with the query's id take no part."""
+    def most(self, query: np.ndarray) -> float:
+        """No row scores more than this."""
+        q = np.append(query.astype(np.float64), 0.0)
+        low = max(0.0, float(np.linalg.norm(q - self.centre)) - self.radius - self._margin(float(q @ q)))
+        return (float(q @ q) + self.longest2 - low * low) / 2 + 1.0
+
+    def _margin(self, q2: float) -> float:
+        return 1e-7 * (np.sqrt(q2) + np.sqrt(self.longest2) + 1.0)
+
+    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to the smaller id; rows with the query's id take no part.
+
+        ``best``, a heap of (score, -id) from other trees, is taken into account and changed.
+        """
+        best = [] if best is None else best  # the worst on top
         q = np.append(query.astype(np.float64), 0.0)
         q2 = float(q @ q)
-        margin = 1e-7 * (np.sqrt(q2) + np.sqrt(self.longest2) + 1.0)
+        margin = self._margin(q2)
         exact = query.astype(np.int64)
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst on top
         reach = np.inf  # distance beyond which nothing can enter
+        if len(best) == k:
+            reach = np.sqrt(max(0.0, q2 + self.longest2 - 2.0 * best[0][0])) + margin
         heap: list[tuple] = [(0.0, self.root, None)]  # lower bound, node, distance to its routing vector
         while heap:
             low, at, to_routing = heapq.heappop(heap)
@@ -89,6 +109,7 @@ class MTree:
                 if not len(rows):
                     continue
                 scores = self.vectors[rows].astype(np.int64) @ exact
+                self.scored += len(rows)
                 if len(best) == k:
                     rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
                 for score, vec in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
@@ -154,19 +175,30 @@ def _pages(rows: int, tree: bool):
 
 
 def _meet(k: int):
+    """Rows (g, salt, side, blob) in this order: a group's trees (side 0), then the blocks that meet them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        last, tree = None, None
+        last, trees = None, []
         for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for key, tree_blob, block_blob in zip(keys, b.column(2), b.column(3), strict=True):
+            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            for key, side, blob in zip(keys, b.column(2).to_pylist(), b.column(3), strict=True):
                 if key != last:
-                    last, tree = key, pickle.loads(tree_blob.as_buffer())  # our own blobs, from the shared folder
-                width, (ids, x) = pickle.loads(block_blob.as_buffer())
-                if width != tree[0]:
+                    last, trees = key, []
+                width, held = pickle.loads(blob.as_buffer())  # our own blobs, from the shared folder
+                if side == 0:
+                    trees.append((width, held))
                     continue
-                out = [(int(q), v, s) for q, vec in zip(ids, x, strict=True) for s, v in tree[1].search(vec, int(q), k)]
-                yield batch(schema, [[o[i] for o in out] for i in range(3)])
+                fit = [t for w, t in trees if w == width]
+                out = []
+                for q, vec in zip(*held, strict=True):
+                    best: list[tuple[int, int]] = []
+                    for most, _, tree in sorted(((t.most(vec), -i, t) for i, t in enumerate(fit)), key=lambda x: x[:2], reverse=True):
+                        if len(best) < k or most >= best[0][0]:
+                            tree.search(vec, int(q), k, best)
+                    out += [(int(q), -v, s) for s, v in best]
+                if out:
+                    yield batch(schema, [[o[i] for o in out] for i in range(3)])
 
     return run
 
@@ -184,10 +216,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     page = "part long, page long, size long, blob binary"
     trees = stash(_quantised(vectors, id_col, vector_col, scale).filter("vec_id is not null").mapInArrow(_pages(tree_rows, True), page))
     blocks = stash(_quantised(queries, id_col, vector_col, scale).filter("vec_id is not null").repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)).mapInArrow(_pages(block_queries, False), page))
-    groups = max(1, -(-trees.count() // TREES_TOGETHER))
-    group = F.pmod(F.xxhash64("part", "page"), F.lit(groups))
-    dealt = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.col("blob").alias("block"))
-    met = trees.select(group.alias("g"), "part", "page", F.col("blob").alias("tree")).join(dealt, "g")
-    found = met.select("part", "page", "tree", "block").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    groups, salts = max(1, -(-trees.count() // TREES_TOGETHER)), max(1, -(-blocks.count() // BLOCKS_TOGETHER))
+    place = lambda n: F.pmod(F.xxhash64("part", "page"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = trees.select(place(groups).alias("g"), every(salts).alias("salt"), F.lit(0).alias("side"), "blob")
+    dealt = dealt.unionByName(blocks.select(every(groups).alias("g"), place(salts).alias("salt"), F.lit(1).alias("side"), "blob"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.repartition(min(max(parts, 1), groups * salts), "g", "salt").sortWithinPartitions("g", "salt", "side")
+    found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

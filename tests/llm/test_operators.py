@@ -622,6 +622,25 @@ def test_top_k(spark):
             assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)], q
     assert found == {q for q, x in sound if q % 100 == 0 and len(x) == 6}
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    odd = df.selectExpr("vec_id", "embedding", "1 AS rank", "2 AS score", "3 AS g", "'x' AS blob", "4 AS query_id")
+    assert topk.top_k(odd, odd.filter("vec_id = 100")).columns == ["query_id", "rank", "vec_id", "score"]
+    assert topk.top_k(odd, odd.filter("vec_id = 100")).count() == 10
+
+
+def test_bounds_prune_where_vectors_cluster():
+    """In a space of few dimensions and tight clusters a search scores few rows, and a far tree is skipped."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-1000, 1000, (60, 4))
+    points = (centres[rng.integers(0, 60, 6000)] + rng.integers(-9, 9, (6000, 4))).astype(np.int64)
+    tree = topk.MTree(np.arange(6000), points)
+    for q in range(0, 6000, 300):
+        want = sorted(((-int(s), i) for i, s in enumerate(points @ points[q]) if i != q))[:10]
+        assert [(-s, v) for s, v in tree.search(points[q], q, 10)] == want
+        assert tree.most(points[q]) >= -want[0][0]
+    assert tree.scored < 0.2 * 20 * 6000
+    far = topk.MTree(np.arange(10), np.full((10, 4), -5000) * np.sign(points[0] + 0.5).astype(np.int64))
+    best = [(s, -v) for s, v in tree.search(points[0], 0, 10)]
+    assert far.most(points[0]) < min(best)[0]
 
 
 # the registered queries with SQL
