@@ -2,11 +2,14 @@
 
 Five statistics of a text are transformed (logarithms of smoothed ratios) and rounded to 1/256, so that all sums
 over documents are exact integers and no result depends on the order of rows.  Per language and source the
-minimum covariance determinant is approached from the medians by concentration steps: keep the three quarters of
-documents that are nearest, take their mean and covariance, measure again.  A document whose squared Mahalanobis
-distance exceeds the cutoff is rejected.  Groups that are too small use their language's estimate, then the
-estimate of all documents.  Only histograms and sums are grouped, so a source with most of the rows is no more
-work for any task than another.
+minimum covariance determinant is sought from three starts by concentration steps (keep the three quarters of
+documents that are nearest, take their mean and covariance, measure again): two steps from each start, then steps to
+convergence from the one whose determinant is least.  A document whose squared Mahalanobis distance exceeds the cutoff
+is rejected.  Counts of what most documents lack have no spread among the nearest; the least standard deviation of
+such a statistic is what one symbol, line or repeated window changes in the group's shorter documents.
+
+Groups that are too small use their language's estimate, then the estimate of all documents.  Only histograms and sums
+are grouped, so a source with most of the rows is no more work for any task than another.
 """
 
 from __future__ import annotations
@@ -18,14 +21,18 @@ from .common import hold, need, stash
 
 #: Fixed rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
-#: Documents that a group needs for an estimate of its own, concentration steps, and the share of documents they keep.
-MIN_GROUP, STEPS, CORE_NUMERATOR, CORE_DENOMINATOR = 50, 3, 3, 4
+#: Documents that a group needs for an estimate of its own, and the share of documents that concentration steps keep.
+MIN_GROUP, CORE_NUMERATOR, CORE_DENOMINATOR = 50, 3, 4
+#: Steps from each start, and steps at most from the best one (it ends where nothing changes).
+FIRST_STEPS, MOST_STEPS = 2, 12
 #: Squared distance beyond which a document is rejected (seven standard deviations), and the factor that makes the
 #: covariance of the nearest three quarters consistent at the normal distribution in five dimensions.
 CUTOFF, CONSISTENCY = 49.0, 1.412
-#: Least standard deviation of a transformed statistic: word length, symbols, repeated lines, repeated words, length.
-FLOORS = (0.10, 0.25, 0.35, 0.70, 1.00)
-#: Distances are counted in bins of 1/32 up to 100, so that a group's histogram has at most 3201 rows.
+#: A word length counts as if the text had so many more words of so many characters; the length of a group's shorter
+#: documents is this quantile of its lengths (a tenth).
+PRIOR_WORDS, PRIOR_CHARS, SHORT = 100, 5, 10
+#: Distances are counted in bins of 1/32 up to 100, so that a group's histogram has at most 3201 rows; the core's edge
+#: lies far below that, and what lies beyond counts as 100.
 UNIT, BINS, FAR = 256, 32, 100.0
 DIM = range(1, 6)
 
@@ -80,7 +87,7 @@ def _places(ordered: str) -> Column:
 def _transformed() -> list[Column]:
     words, chars = F.col("n_words"), F.col("word_chars")
     raw = [
-        F.log((chars + 50) / (words + 10)),
+        F.log((chars + PRIOR_CHARS * PRIOR_WORDS) / (words + PRIOR_WORDS)),
         F.log(1 + 100 * F.col("n_symbols") / (chars + 50)),
         F.log(1 + 100 * F.col("n_dup_lines") / (words + 50)),
         F.log(1 + 100 * F.col("n_repeat_words") / (words + 50)),
@@ -90,7 +97,8 @@ def _transformed() -> list[Column]:
 
 
 def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds __d2: forward substitution in the Cholesky factor of the group's covariance."""
+    """Adds __d2 (and the start, __st, in whose measure): forward substitution in the Cholesky factor of the group's
+    covariance."""
     out = rows.join(stats, "__g", how)
     for i in DIM:
         z = F.col(f"__x{i}") / F.lit(float(UNIT)) - F.col(f"__m{i}")
@@ -100,45 +108,88 @@ def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFram
     total = F.col("__z1") * F.col("__z1")
     for i in DIM[1:]:
         total = total + F.col(f"__z{i}") * F.col(f"__z{i}")
-    return out.withColumn("__d2", total).drop(*(c for c in stats.columns if c != "__g"), *(f"__z{i}" for i in DIM))
+    return out.withColumn("__d2", total).drop(*(c for c in stats.columns if c not in ("__g", "__st")), *(f"__z{i}" for i in DIM))
 
 
-def _medians(fit: DataFrame) -> DataFrame:
-    """Per group the medians, from exact histograms, with the floors as scale."""
+PAIRS = [(i, j) for i in DIM for j in range(1, i + 1)]
+STATS = [*(f"__m{i}" for i in DIM), *(f"__l{i}{j}" for i, j in PAIRS), *(f"__f{i}" for i in DIM)]
+
+
+def _quantiles(fit: DataFrame) -> DataFrame:
+    """Per group, from exact histograms: each statistic's quartiles (q1, m, q3) and the short documents' length."""
     long = fit.select("__g", F.stack(F.lit(5), *[c for i in DIM for c in (F.lit(i), F.col(f"__x{i}"))]).alias("dim", "v"))
     # dealt by value: else the window's exchange would bring every task's partial counts of a group to one task
     counts = long.groupBy("__g", "dim", "v").agg(F.count(F.lit(1)).alias("n")).repartition("__g", "dim", "v")
     w = Window.partitionBy("__g", "dim")
     met = counts.select("__g", "dim", "v", F.sum("n").over(w.orderBy("v")).alias("upto"), F.sum("n").over(w).alias("n"))
-    middle = met.filter(2 * F.col("upto") >= F.col("n")).groupBy("__g").agg(*[(F.min(F.when(F.col("dim") == i, F.col("v"))) / F.lit(float(UNIT))).alias(f"__m{i}") for i in DIM])
-    scale = [F.lit(FLOORS[i - 1] if i == j else 0.0).alias(f"__l{i}{j}") for i in DIM for j in range(1, i + 1)]
-    return middle.select("*", *scale)
+    least = lambda i, share, of: F.min(F.when((F.col("dim") == i) & (of * F.col("upto") >= share * F.col("n")), F.col("v")))
+    return met.groupBy("__g").agg(*[least(i, k, 4).alias(f"q{k}{i}") for i in DIM for k in (1, 2, 3)], least(5, 1, SHORT).alias("short"))
+
+
+def _floors(out: DataFrame) -> DataFrame:
+    """Adds __f1 .. __f5, rounded to 1/1024: the least standard deviations."""
+    words = F.exp(F.col("short") / float(UNIT)) - 10
+    chars = F.exp(F.col("q21") / float(UNIT)) * (words + PRIOR_WORDS) - float(PRIOR_CHARS * PRIOR_WORDS)
+    out = out.withColumn("__words", F.greatest(words, F.lit(0.0))).withColumn("__chars", F.greatest(chars, F.lit(0.0)))
+    one = [F.lit(1.0 / UNIT), F.log(1 + 100 / (F.col("__chars") + 50)), F.log(1 + 100 / (F.col("__words") + 50)), F.log(1 + 100.0 * 2 * WINDOW_WORDS / (F.col("__words") + 50)), F.lit(1.0 / UNIT)]
+    return out.select("*", *[(F.floor(f * 1024 + 0.5) / 1024.0).alias(f"__f{i}") for i, f in zip(DIM, one, strict=True)])
+
+
+def _moments(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group a1 .. a5, a11 .. a55: means of the statistics and of their products."""
+    sums = [F.sum(f"__x{i}").alias(f"s{i}") for i in DIM] + [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return out.select(*by, *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in DIM], *[(F.col(f"s{i}{j}") / F.col("n")).alias(f"a{i}{j}") for i, j in PAIRS])
+
+
+def _spread(i: int, j: int) -> Column:
+    return (F.col(f"a{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / float(UNIT * UNIT)
+
+
+def _factored(out: DataFrame, factor: float) -> DataFrame:
+    """Adds __m (the means) and __l, the Cholesky factor of the covariance with the floors on its diagonal."""
+    for i, j in PAIRS:
+        v = factor * _spread(i, j)
+        if i == j:
+            v = v + F.col(f"__f{i}") * F.col(f"__f{i}")
+        for k in range(1, j):
+            v = v - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
+        out = out.withColumn(f"__l{i}{j}", F.sqrt(v) if i == j else v / F.col(f"__l{j}{j}"))
+    return out.select("*", *[(F.col(f"a{i}") / float(UNIT)).alias(f"__m{i}") for i in DIM])
+
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """Three measures for each group: medians and quartile ranges; mean and covariance; medians and variances."""
+    base = stash(_floors(_quantiles(fit).join(_moments(fit, "__g"), "__g")))
+    medians = [(F.col(f"q2{i}") / float(UNIT)).alias(f"__m{i}") for i in DIM]
+    floors = [f"__f{i}" for i in DIM]
+
+    def diagonal(start: int, variance) -> DataFrame:
+        scale = [(F.sqrt(variance(i) + F.col(f"__f{i}") * F.col(f"__f{i}")) if i == j else F.lit(0.0)).alias(f"__l{i}{j}") for i, j in PAIRS]
+        return base.select("__g", F.lit(start).alias("__st"), *medians, *scale, *floors)
+
+    def quartiles(i: int) -> Column:
+        sd = (F.col(f"q3{i}") - F.col(f"q1{i}")) / (1.349 * UNIT)
+        return sd * sd
+
+    classical = _factored(base, 1.0).select("__g", F.lit(2).alias("__st"), *STATS)
+    return diagonal(1, quartiles).unionByName(classical).unionByName(diagonal(3, lambda i: _spread(i, i)))
 
 
 def _concentrate(fit: DataFrame, stats: DataFrame) -> DataFrame:
     """One step: mean and Cholesky factor of the covariance of the documents nearest under ``stats``."""
     binned = _distance(fit, stats).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(FAR)) * BINS).cast("long"))
-    counts = binned.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("n")).repartition("__g", "__bin")
-    w = Window.partitionBy("__g")
-    met = counts.select("__g", "__bin", F.sum("n").over(w.orderBy("__bin")).alias("upto"), F.sum("n").over(w).alias("n"))
+    counts = binned.groupBy("__g", "__st", "__bin").agg(F.count(F.lit(1)).alias("n")).repartition("__g", "__st", "__bin")
+    w = Window.partitionBy("__g", "__st")
+    met = counts.select("__g", "__st", "__bin", F.sum("n").over(w.orderBy("__bin")).alias("upto"), F.sum("n").over(w).alias("n"))
     # written first: a row per group, so that its size is known when the rows meet it, and no group is dealt to one task
-    level = stash(met.filter(CORE_DENOMINATOR * F.col("upto") >= CORE_NUMERATOR * F.col("n")).groupBy("__g").agg(F.min("__bin").alias("__level")))
-    core = binned.join(level, "__g").filter("__bin <= __level")
-    sums = [F.sum(f"__x{i}").alias(f"s{i}") for i in DIM] + [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s{i}{j}") for i in DIM for j in range(1, i + 1)]
-    out = core.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), *sums)
-    out = out.select("__g", *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in DIM], *[(F.col(f"s{i}{j}") / F.col("n")).alias(f"a{i}{j}") for i in DIM for j in range(1, i + 1)])
-    for i in DIM:
-        for j in range(1, i + 1):
-            v = CONSISTENCY * ((F.col(f"a{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / float(UNIT * UNIT))
-            if i == j:
-                v = v + FLOORS[i - 1] * FLOORS[i - 1]
-            for k in range(1, j):
-                v = v - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
-            out = out.withColumn(f"__l{i}{j}", F.sqrt(v) if i == j else v / F.col(f"__l{j}{j}"))
-    return out.select("__g", *[(F.col(f"a{i}") / float(UNIT)).alias(f"__m{i}") for i in DIM], *[f"__l{i}{j}" for i in DIM for j in range(1, i + 1)])
+    level = stash(met.filter(CORE_DENOMINATOR * F.col("upto") >= CORE_NUMERATOR * F.col("n")).groupBy("__g", "__st").agg(F.min("__bin").alias("__level")))
+    core = binned.join(level, ["__g", "__st"]).filter("__bin <= __level")
+    out = _moments(core, "__g", "__st").join(stats.select("__g", "__st", *[f"__f{i}" for i in DIM]), ["__g", "__st"])
+    return _factored(out, CONSISTENCY).select("__g", "__st", *STATS)
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, cutoff: float = CUTOFF, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, cutoff: float = CUTOFF, steps: int = MOST_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """:func:`statistics` of ``docs`` with ``distance`` (squared, null where a fixed rule failed) and ``kept``.
 
     Null languages and sources count as empty ones.  Repeated rows get the same verdict.  With fewer documents
@@ -152,7 +203,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     return judged.select(*[f"`{c}`" for c in measured.columns], F.col("__d2").alias("distance"), F.col("__kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, cutoff: float = CUTOFF, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, cutoff: float = CUTOFF, steps: int = MOST_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, whole.  Texts are measured twice, so that none is shuffled:
     once for the estimates, and once where each row meets its group's."""
     need(docs, text_col, lang_col, source_col)
@@ -175,10 +226,20 @@ def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFr
     key = F.when(F.col("n_s") >= min_group, F.concat_ws("\u0001", F.lit("s"), "__l", "__s")).when(F.col("n_l") >= min_group, F.concat_ws("\u0001", F.lit("l"), "__l")).otherwise(F.lit("a"))
     uses = stash(sizes.select("__l", "__s", key.alias("__own")))
     fit = hold(_fit_rows(good.select("__l", "__s", *[f"__x{i}" for i in DIM]).join(uses, ["__l", "__s"])))
-    stats = stash(_medians(fit))
-    for _ in range(steps):
+    stats = stash(_starts(fit))
+    for _ in range(FIRST_STEPS):
         stats = stash(_concentrate(fit, stats))
-    return uses, stats
+    determinant = F.lit(1.0)
+    for i in DIM:
+        determinant = determinant * F.col(f"__l{i}{i}")
+    best = stats.groupBy("__g").agg(F.min(F.struct(determinant.alias("det"), "__st", *STATS)).alias("best"))
+    stats = stash(best.select("__g", "best.__st", *[f"best.{c}" for c in STATS]))
+    for _ in range(steps):
+        before, stats = stats, stash(_concentrate(fit, stats))
+        if stats.select("__g", *STATS).exceptAll(before.select("__g", *STATS)).isEmpty():  # a row for each group
+            break
+    fit.unpersist()
+    return uses, stats.drop("__st")
 
 
 def _verdict(rows: DataFrame, uses: DataFrame, stats: DataFrame, cutoff: float) -> DataFrame:
@@ -192,7 +253,8 @@ def _fit_rows(rows: DataFrame) -> DataFrame:
     """Rows by the estimate that they take part in: their own group's, and their language's and everything's
     where some group falls back to it (then all rows of the language, or all rows, take part)."""
     x = [f"__x{i}" for i in DIM]
-    back = rows.filter(F.col("__own").startswith("l") | (F.col("__own") == "a")).select("__own").distinct()
+    # written first: at most a row for each language, whose size is then known, so that no language is dealt to one task
+    back = stash(rows.filter(F.col("__own").startswith("l") | (F.col("__own") == "a")).select("__own").distinct())
     own = rows.filter(F.col("__own").startswith("s")).select(F.col("__own").alias("__g"), *x)
     by_lang = rows.select(F.concat_ws("\u0001", F.lit("l"), "__l").alias("__g"), *x).join(back.withColumnRenamed("__own", "__g"), "__g", "left_semi")
     every = rows.select(F.lit("a").alias("__g"), *x).join(back.withColumnRenamed("__own", "__g"), "__g", "left_semi")
@@ -202,7 +264,8 @@ def _fit_rows(rows: DataFrame) -> DataFrame:
 def quality_oracle() -> str:
     """The same verdicts in DuckDB SQL over ``documents``."""
     lets = []
-    let = lambda name, sql: lets.append(f"{name} AS (\n{sql}\n)")
+    # what is narrow is kept, as later steps read it more than once
+    let = lambda name, sql: lets.append(f"{name} AS {'NOT ' * name.startswith(('doc', 'win'))}MATERIALIZED (\n{sql}\n)")
     dims = list(DIM)
     pairs = [(i, j) for i in dims for j in range(1, i + 1)]
     w = WINDOW_WORDS
@@ -217,7 +280,7 @@ def quality_oracle() -> str:
   coalesce(r, 0)::BIGINT AS n_repeat_words FROM doc1 d LEFT JOIN win3 USING (rid)""")
     q = lambda e, i: f"floor(({e}) * {UNIT} + 0.5)::BIGINT AS x{i}"
     let("rows0", f"""SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  {q('ln((word_chars + 50)::DOUBLE / (n_words + 10))', 1)}, {q('ln(1 + 100 * n_symbols / (word_chars + 50)::DOUBLE)', 2)},
+  {q(f'ln((word_chars + {PRIOR_CHARS * PRIOR_WORDS})::DOUBLE / (n_words + {PRIOR_WORDS}))', 1)}, {q('ln(1 + 100 * n_symbols / (word_chars + 50)::DOUBLE)', 2)},
   {q('ln(1 + 100 * n_dup_lines / (n_words + 50)::DOUBLE)', 3)}, {q('ln(1 + 100 * n_repeat_words / (n_words + 50)::DOUBLE)', 4)}, {q('ln((n_words + 10)::DOUBLE)', 5)} FROM base""")
     let("sizes", "SELECT l, s, count(*) AS n_s, sum(count(*)) OVER (PARTITION BY l) AS n_l FROM rows0 WHERE NOT base_failed GROUP BY l, s")
     let("keyed", f"SELECT r.*, CASE WHEN n_s >= {MIN_GROUP} THEN 's' || chr(1) || r.l || chr(1) || r.s WHEN n_l >= {MIN_GROUP} THEN 'l' || chr(1) || r.l ELSE 'a' END AS own FROM rows0 r JOIN sizes USING (l, s) WHERE NOT base_failed")
@@ -225,33 +288,58 @@ def quality_oracle() -> str:
     let("fit", f"""SELECT own AS g, {xs} FROM keyed WHERE own LIKE 's%'
 UNION ALL SELECT 'l' || chr(1) || l, {xs} FROM keyed WHERE 'l' || chr(1) || l IN (SELECT own FROM keyed)
 UNION ALL SELECT 'a', {xs} FROM keyed WHERE 'a' IN (SELECT own FROM keyed)""")
+    u = f"{float(UNIT)}::DOUBLE"
+    uu = f"{float(UNIT * UNIT)}::DOUBLE"
     let("med0", " UNION ALL ".join(f"SELECT g, {i} AS dim, x{i} AS v FROM fit" for i in dims))
     let("med1", "SELECT g, dim, v, row_number() OVER (PARTITION BY g, dim ORDER BY v) AS k, count(*) OVER (PARTITION BY g, dim) AS n FROM med0")
-    med = ", ".join(f"min(v) FILTER (WHERE dim = {i}) / {float(UNIT)}::DOUBLE AS m{i}" for i in dims)
-    scale = ", ".join(f"{FLOORS[i - 1] if i == j else 0.0}::DOUBLE AS l{i}{j}" for i, j in pairs)
-    let("stats0", f"SELECT g, {med}, {scale} FROM med1 WHERE 2 * k >= n GROUP BY g")
+    quarters = ", ".join(f"min(v) FILTER (WHERE dim = {i} AND 4 * k >= {k} * n) AS q{k}{i}" for i in dims for k in (1, 2, 3))
+    let("med2", f"SELECT g, {quarters}, min(v) FILTER (WHERE dim = 5 AND {SHORT} * k >= n) AS short FROM med1 GROUP BY g")
+    moments = ", ".join([f"sum(x{i})::DOUBLE / count(*) AS a{i}" for i in dims] + [f"sum(x{i} * x{j})::DOUBLE / count(*) AS a{i}{j}" for i, j in pairs])
+    let("all0", f"SELECT g, {moments} FROM fit GROUP BY g")
+    one = [f"1.0::DOUBLE / {UNIT}", "ln(1 + 100 / (chars + 50))", "ln(1 + 100 / (words + 50))", f"ln(1 + {100.0 * 2 * w}::DOUBLE / (words + 50))", f"1.0::DOUBLE / {UNIT}"]
+    floors = ", ".join(f"floor(({f}) * 1024 + 0.5) / 1024.0::DOUBLE AS f{i}" for i, f in zip(dims, one, strict=True))
+    let("base0", f"""SELECT *, {floors} FROM (SELECT *, greatest(exp(q21 / {u}) * (raw + {PRIOR_WORDS}) - {float(PRIOR_CHARS * PRIOR_WORDS)}::DOUBLE, 0.0::DOUBLE) AS chars, greatest(raw, 0.0::DOUBLE) AS words
+  FROM (SELECT med2.*, all0.* EXCLUDE (g), exp(short / {u}) - 10 AS raw FROM med2 JOIN all0 USING (g)))""")
+    spread = lambda i, j: f"((a{i}{j} - a{i} * a{j}) / {uu})"
+    keep = ", ".join([*(f"m{i}" for i in dims), *(f"l{i}{j}" for i, j in pairs), *(f"f{i}" for i in dims)])
+
+    def factored(at: str, factor: float) -> str:
+        for i, j in pairs:
+            v = f"{factor!r}::DOUBLE * {spread(i, j)}"
+            if i == j:
+                v += f" + f{i} * f{i}"
+            v += "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
+            at = f"(SELECT *, {f'sqrt({v})' if i == j else f'({v}) / l{j}{j}'} AS l{i}{j} FROM {at})"
+        return f"(SELECT *, {', '.join(f'a{i} / {u} AS m{i}' for i in dims)} FROM {at})"
+
+    def diagonal(start: int, variance) -> str:
+        scale = ", ".join((f"sqrt({variance(i)} + f{i} * f{i})" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in pairs)
+        return f"SELECT g, {start} AS st, {', '.join(f'q2{i} / {u} AS m{i}' for i in dims)}, {scale}, {', '.join(f'f{i}' for i in dims)} FROM base0"
+
+    quartile = lambda i: f"((q3{i} - q1{i}) / {1.349 * UNIT!r}::DOUBLE) * ((q3{i} - q1{i}) / {1.349 * UNIT!r}::DOUBLE)"
+    let("stats0", f"{diagonal(1, quartile)} UNION ALL SELECT g, 2 AS st, {keep} FROM {factored('base0', 1.0)} UNION ALL {diagonal(3, lambda i: spread(i, i))}")
 
     def distance(name: str, rows: str, stats: str) -> str:
         at = f"SELECT r.*, t.* EXCLUDE (g) FROM {rows} r JOIN {stats} t USING (g)"
         for i in dims:
-            z = f"x{i} / {float(UNIT)}::DOUBLE - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(1, i))
+            z = f"x{i} / {u} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(1, i))
             at = f"SELECT *, ({z}) / l{i}{i} AS z{i} FROM ({at})"
         let(name, f"SELECT *, {' + '.join(f'z{i} * z{i}' for i in dims)} AS d2 FROM ({at})")
         return name
 
-    for step in range(1, STEPS + 1):
-        distance(f"dist{step}", "fit", f"stats{step - 1}")
-        let(f"bin{step}", f"SELECT g, {xs}, floor(least(d2, {FAR}::DOUBLE) * {BINS})::BIGINT AS b FROM dist{step}")
-        let(f"cum{step}", f"SELECT g, b, sum(n) OVER (PARTITION BY g ORDER BY b) AS upto, sum(n) OVER (PARTITION BY g) AS n FROM (SELECT g, b, count(*) AS n FROM bin{step} GROUP BY g, b)")
-        let(f"level{step}", f"SELECT g, min(b) AS level FROM cum{step} WHERE {CORE_DENOMINATOR} * upto >= {CORE_NUMERATOR} * n GROUP BY g")
-        sums = ", ".join([f"sum(x{i})::DOUBLE / count(*) AS a{i}" for i in dims] + [f"sum(x{i} * x{j})::DOUBLE / count(*) AS a{i}{j}" for i, j in pairs])
-        at = f"SELECT g, {sums} FROM bin{step} JOIN level{step} USING (g) WHERE b <= level GROUP BY g"
-        for i, j in pairs:
-            v = f"{CONSISTENCY}::DOUBLE * ((a{i}{j} - a{i} * a{j}) / {float(UNIT * UNIT)}::DOUBLE)"
-            if i == j:
-                v += f" + {FLOORS[i - 1] * FLOORS[i - 1]!r}::DOUBLE"
-            v += "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
-            at = f"SELECT *, {f'sqrt({v})' if i == j else f'({v}) / l{j}{j}'} AS l{i}{j} FROM ({at})"
-        let(f"stats{step}", f"SELECT g, {', '.join(f'a{i} / {float(UNIT)}::DOUBLE AS m{i}' for i in dims)}, {', '.join(f'l{i}{j}' for i, j in pairs)} FROM ({at})")
-    distance("final", "(SELECT own AS g, * EXCLUDE (own) FROM keyed)", f"stats{STEPS}")
+    stats = "stats0"
+    for step in range(1, FIRST_STEPS + MOST_STEPS + 1):
+        distance(f"dist{step}", "fit", stats)
+        let(f"bin{step}", f"SELECT g, st, {xs}, floor(least(d2, {FAR}::DOUBLE) * {BINS})::BIGINT AS b FROM dist{step}")
+        let(f"cum{step}", f"SELECT g, st, b, sum(n) OVER (PARTITION BY g, st ORDER BY b) AS upto, sum(n) OVER (PARTITION BY g, st) AS n FROM (SELECT g, st, b, count(*) AS n FROM bin{step} GROUP BY g, st, b)")
+        let(f"level{step}", f"SELECT g, st, min(b) AS level FROM cum{step} WHERE {CORE_DENOMINATOR} * upto >= {CORE_NUMERATOR} * n GROUP BY g, st")
+        let(f"core{step}", f"SELECT g, st, {moments} FROM bin{step} JOIN level{step} USING (g, st) WHERE b <= level GROUP BY g, st")
+        fs = ", ".join(f"t.f{i}" for i in dims)
+        let(f"stats{step}", f"SELECT g, st, {keep} FROM {factored(f'(SELECT c.*, {fs} FROM core{step} c JOIN {stats} t USING (g, st))', CONSISTENCY)}")
+        stats = f"stats{step}"
+        if step == FIRST_STEPS:
+            det = " * ".join(["1.0::DOUBLE", *(f"l{i}{i}" for i in dims)])
+            let("best", f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {det}, st) AS place FROM {stats}) WHERE place = 1")
+            stats = "best"
+    distance("final", "(SELECT own AS g, * EXCLUDE (own) FROM keyed)", stats)
     return "WITH " + ",\n".join(lets) + f"\nSELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, coalesce(NOT r.base_failed AND d2 <= {CUTOFF}, FALSE) AS kept FROM rows0 r LEFT JOIN final f USING (rid)"
