@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,12 +12,17 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: texts may be long, so far fewer than Spark's default of 10,000.
 BATCH_ROWS = 512
 #: And bytes, whatever the number of rows.
 BATCH_BYTES = 8 << 20
 _shipped: dict[str, str] = {}
+#: Copies of a small side, one for each salt, in joins whose other side may have most rows under one key.
+SALTS = 8
+#: What is held or stashed and not given back yet, oldest first.
+_kept: list[DataFrame] = []
 
 
 def ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -48,9 +54,12 @@ def _ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs in
+    one process (tests): on a cluster an unset folder is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tallyforge-")
     if sc.getCheckpointDir() is None:
@@ -60,6 +69,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def drop(df: DataFrame) -> None:
     """Delete what :func:`stash` wrote, once nothing reads it any more."""
+    _kept[:] = [x for x in _kept if x is not df]
     spark = df.sparkSession
     for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
@@ -76,13 +86,44 @@ def stash(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read again: like :func:`cut`, but columnar and compressed."""
     at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    _kept.append(out)
+    return out
 
 
 def hold(df: DataFrame) -> DataFrame:
     """Keep a narrow table on the executors' disks, for several readers; what a lost executor held is made again
     from the lineage, which stays.  Writes no files to the shared folder."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    out = df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(out)
+    return out
+
+
+def mark() -> int:
+    """A place in what is kept, for :func:`give_back`."""
+    return len(_kept)
+
+
+def give_back(since: int, *but: DataFrame) -> None:
+    """Gives back what has been held or stashed since a :func:`mark`, once results that need it are written.
+
+    An operator returns before its result is computed, so what it keeps is its caller's to give back.
+    """
+    for df in _kept[since:]:
+        if any(df is b for b in but):
+            continue
+        if df.storageLevel.useDisk:
+            df.unpersist()
+        else:
+            drop(df)
+    _kept[since:] = [b for b in but]
+
+
+def join_salted(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``unique``, which has one row for a key, however many rows have the same key."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def release(spark: SparkSession) -> None:

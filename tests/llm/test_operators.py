@@ -459,6 +459,27 @@ def test_clauses_of_many_texts(spark, monkeypatch, hot, group):
     assert rows_of(jaccard.link_components(table(spark, rows))) == brute_components(rows)
 
 
+def test_trees_prune_node_pairs():
+    """One shingle that many texts share: of all pairs of its members few are compared, and none that is alike is lost."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for k in range(150):
+        base = rng.integers(1, 1 << 62, int(rng.integers(60, 400)), dtype=np.uint64)
+        for i in range(1 + k % 3):
+            some = base.copy()
+            some[: i * 2] = rng.integers(1, 1 << 62, i * 2, dtype=np.uint64)
+            sets.append(np.unique(np.append(some, np.uint64(7))))
+    links, seen, plain = jaccard._Links(len(sets)), {}, jaccard._Links(len(sets))
+    tree = jaccard.SignatureTree.of_sets([s[1:] for s in sets], list(range(len(sets))), 1 << 12)
+    jaccard.join_trees(tree, tree, links, 80, lambda i, j: jaccard.alike(sets[i], sets[j], 80), seen)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    for i, j in pairs:
+        if jaccard.alike(sets[i], sets[j], 80):
+            plain.join(i, j)
+    assert [links.find(i) for i in range(len(sets))] == [plain.find(i) for i in range(len(sets))]
+    assert seen["pruned"] > 0.5 * seen["met"] and seen["compared"] < 0.1 * len(pairs), seen
+
+
 def test_one_of_each_group_stays(spark):
     rows = ODD + near_copies()
     kept = jaccard.keep_one(table(spark, rows))
