@@ -5,8 +5,9 @@ over documents are exact integers and no result depends on the order of rows.  P
 minimum covariance determinant is sought from three starts by concentration steps (keep the three quarters of
 documents that are nearest, take their mean and covariance, measure again): two steps from each start, then steps to
 convergence from the one whose determinant is least.  A document whose squared Mahalanobis distance exceeds the cutoff
-is rejected.  Counts of what most documents lack have no spread among the nearest; the least standard deviation of
-such a statistic is what one symbol, line or repeated window changes in the group's shorter documents.
+is rejected.  No statistic counts as narrower than the data give reason for: counts of what most documents lack have no
+spread among the nearest, and there one symbol, line or repeated window in the group's shorter documents is the least
+standard deviation; for word length and length it is the spread of all documents (a group may be copies of one text).
 
 Groups that are too small use their language's estimate, then the estimate of all documents.  Only histograms and sums
 are grouped, so a source with most of the rows is no more work for any task than another.
@@ -31,6 +32,9 @@ CUTOFF, CONSISTENCY = 49.0, 1.412
 #: A word length counts as if the text had so many more words of so many characters; the length of a group's shorter
 #: documents is this quantile of its lengths (a tenth).
 PRIOR_WORDS, PRIOR_CHARS, SHORT = 100, 5, 10
+#: Least standard deviations of word length and length where all documents are alike, and the share of each variance
+#: that is added to it, so that few documents give a covariance that can be inverted, too.
+LEAST_WORD_LENGTH, LEAST_LENGTH, RIDGE = 1 / 32, 1 / 4, 1 / 16
 #: Distances are counted in bins of 1/32 up to 100, so that a group's histogram has at most 3201 rows; the core's edge
 #: lies far below that, and what lies beyond counts as 100.
 UNIT, BINS, FAR = 256, 32, 100.0
@@ -101,14 +105,10 @@ def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFram
     covariance."""
     out = rows.join(stats, "__g", how)
     for i in DIM:
-        z = F.col(f"__x{i}") / F.lit(float(UNIT)) - F.col(f"__m{i}")
-        for j in range(1, i):
-            z = z - F.col(f"__l{i}{j}") * F.col(f"__z{j}")
-        out = out.withColumn(f"__z{i}", z / F.col(f"__l{i}{i}"))
-    total = F.col("__z1") * F.col("__z1")
-    for i in DIM[1:]:
-        total = total + F.col(f"__z{i}") * F.col(f"__z{i}")
-    return out.withColumn("__d2", total).drop(*(c for c in stats.columns if c not in ("__g", "__st")), *(f"__z{i}" for i in DIM))
+        z = f"__x{i} / {float(UNIT)}D - __m{i}" + "".join(f" - __l{i}{j} * __z{j}" for j in range(1, i))
+        out = out.selectExpr("*", f"({z}) / __l{i}{i} AS __z{i}")
+    keep = [f"`{c}`" for c in rows.columns] + ["__st"] * ("__st" in stats.columns)
+    return out.selectExpr(*keep, " + ".join(f"__z{i} * __z{i}" for i in DIM) + " AS __d2")
 
 
 PAIRS = [(i, j) for i in DIM for j in range(1, i + 1)]
@@ -126,67 +126,89 @@ def _quantiles(fit: DataFrame) -> DataFrame:
     return met.groupBy("__g").agg(*[least(i, k, 4).alias(f"q{k}{i}") for i in DIM for k in (1, 2, 3)], least(5, 1, SHORT).alias("short"))
 
 
-def _floors(out: DataFrame) -> DataFrame:
+def _spread_of_all(fit: DataFrame) -> list[float]:
+    """Quartile ranges of word length and length over all groups, as standard deviations: the least ones of any group."""
+    long = fit.select(F.stack(F.lit(2), F.lit(1), F.col("__x1"), F.lit(5), F.col("__x5")).alias("dim", "v"))
+    counts = long.groupBy("dim", "v").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are values
+    w = Window.partitionBy("dim")
+    met = counts.select("dim", "v", F.sum("n").over(w.orderBy("v")).alias("upto"), F.sum("n").over(w).alias("n"))
+    least = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("n"), F.col("v")))
+    found = {r["dim"]: r["width"] for r in met.groupBy("dim").agg((least(3) - least(1)).alias("width")).collect()}  # two rows
+    return [max(least, found.get(i, 0) / (1.349 * UNIT)) for i, least in ((1, LEAST_WORD_LENGTH), (5, LEAST_LENGTH))]
+
+
+def _floors(out: DataFrame, all_1: float, all_5: float) -> DataFrame:
     """Adds __f1 .. __f5, rounded to 1/1024: the least standard deviations."""
     words = F.exp(F.col("short") / float(UNIT)) - 10
     chars = F.exp(F.col("q21") / float(UNIT)) * (words + PRIOR_WORDS) - float(PRIOR_CHARS * PRIOR_WORDS)
     out = out.withColumn("__words", F.greatest(words, F.lit(0.0))).withColumn("__chars", F.greatest(chars, F.lit(0.0)))
-    one = [F.lit(1.0 / UNIT), F.log(1 + 100 / (F.col("__chars") + 50)), F.log(1 + 100 / (F.col("__words") + 50)), F.log(1 + 100.0 * 2 * WINDOW_WORDS / (F.col("__words") + 50)), F.lit(1.0 / UNIT)]
+    one = [F.lit(all_1), F.log(1 + 100 / (F.col("__chars") + 50)), F.log(1 + 100 / (F.col("__words") + 50)), F.log(1 + 100.0 * 2 * WINDOW_WORDS / (F.col("__words") + 50)), F.lit(all_5)]
     return out.select("*", *[(F.floor(f * 1024 + 0.5) / 1024.0).alias(f"__f{i}") for i, f in zip(DIM, one, strict=True)])
 
 
-def _moments(rows: DataFrame, *by: str) -> DataFrame:
-    """Per group a1 .. a5, a11 .. a55: means of the statistics and of their products."""
-    sums = [F.sum(f"__x{i}").alias(f"s{i}") for i in DIM] + [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
-    return out.select(*by, *[(F.col(f"s{i}") / F.col("n")).alias(f"a{i}") for i in DIM], *[(F.col(f"s{i}{j}") / F.col("n")).alias(f"a{i}{j}") for i, j in PAIRS])
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group n, s1 .. s5, s11 .. s55: counts and sums of the statistics and of their products."""
+    sums = [f"sum(__x{i}) AS s{i}" for i in DIM] + [f"sum(__x{i} * __x{j}) AS s{i}{j}" for i, j in PAIRS]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums))
+
+
+def _means(sums: DataFrame, *by: str) -> DataFrame:
+    """a1 .. a5, a11 .. a55 of :func:`_sums`."""
+    return sums.selectExpr(*by, *[f"s{i} / n AS a{i}" for i in DIM], *[f"s{i}{j} / n AS a{i}{j}" for i, j in PAIRS])
+
 
+def _spread(i: int, j: int) -> str:
+    return f"((a{i}{j} - a{i} * a{j}) / {float(UNIT * UNIT)}D)"
 
-def _spread(i: int, j: int) -> Column:
-    return (F.col(f"a{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / float(UNIT * UNIT)
+
+def _at_least(variance: str, i: int) -> str:
+    return f"greatest({variance}, __f{i} * __f{i}) * {1 + RIDGE}D"
 
 
 def _factored(out: DataFrame, factor: float) -> DataFrame:
-    """Adds __m (the means) and __l, the Cholesky factor of the covariance with the floors on its diagonal."""
-    for i, j in PAIRS:
-        v = factor * _spread(i, j)
-        if i == j:
-            v = v + F.col(f"__f{i}") * F.col(f"__f{i}")
-        for k in range(1, j):
-            v = v - F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}")
-        out = out.withColumn(f"__l{i}{j}", F.sqrt(v) if i == j else v / F.col(f"__l{j}{j}"))
-    return out.select("*", *[(F.col(f"a{i}") / float(UNIT)).alias(f"__m{i}") for i in DIM])
+    """Adds __m (the means) and __l, the Cholesky factor of the covariance with the floors under its diagonal."""
+
+    def rest(i: int, j: int) -> str:
+        v = f"{factor}D * {_spread(i, j)}"
+        return (_at_least(v, i) if i == j else v) + "".join(f" - __l{i}{k} * __l{j}{k}" for k in range(1, j))
+
+    for j in DIM:
+        out = out.selectExpr("*", f"sqrt({rest(j, j)}) AS __l{j}{j}")
+        if j < DIM[-1]:
+            out = out.selectExpr("*", *[f"({rest(i, j)}) / __l{j}{j} AS __l{i}{j}" for i in DIM if i > j])
+    return out.selectExpr("*", *[f"a{i} / {float(UNIT)}D AS __m{i}" for i in DIM])
 
 
 def _starts(fit: DataFrame) -> DataFrame:
     """Three measures for each group: medians and quartile ranges; mean and covariance; medians and variances."""
-    base = stash(_floors(_quantiles(fit).join(_moments(fit, "__g"), "__g")))
-    medians = [(F.col(f"q2{i}") / float(UNIT)).alias(f"__m{i}") for i in DIM]
+    base = stash(_floors(_quantiles(fit).join(_means(_sums(fit, "__g"), "__g"), "__g"), *_spread_of_all(fit)))
     floors = [f"__f{i}" for i in DIM]
 
     def diagonal(start: int, variance) -> DataFrame:
-        scale = [(F.sqrt(variance(i) + F.col(f"__f{i}") * F.col(f"__f{i}")) if i == j else F.lit(0.0)).alias(f"__l{i}{j}") for i, j in PAIRS]
-        return base.select("__g", F.lit(start).alias("__st"), *medians, *scale, *floors)
+        scale = [(f"sqrt({_at_least(variance(i), i)})" if i == j else "0.0D") + f" AS __l{i}{j}" for i, j in PAIRS]
+        return base.selectExpr("__g", f"{start} AS __st", *[f"q2{i} / {float(UNIT)}D AS __m{i}" for i in DIM], *scale, *floors)
 
-    def quartiles(i: int) -> Column:
-        sd = (F.col(f"q3{i}") - F.col(f"q1{i}")) / (1.349 * UNIT)
-        return sd * sd
+    def quartiles(i: int) -> str:
+        sd = f"((q3{i} - q1{i}) / {1.349 * UNIT!r}D)"
+        return f"{sd} * {sd}"
 
     classical = _factored(base, 1.0).select("__g", F.lit(2).alias("__st"), *STATS)
     return diagonal(1, quartiles).unionByName(classical).unionByName(diagonal(3, lambda i: _spread(i, i)))
 
 
 def _concentrate(fit: DataFrame, stats: DataFrame) -> DataFrame:
-    """One step: mean and Cholesky factor of the covariance of the documents nearest under ``stats``."""
+    """One step: mean and Cholesky factor of the covariance of the documents nearest under ``stats``; __same says whether
+    nothing has changed.  The documents are read once: their sums by bins of distance, which are added up to the core's
+    edge (a group has a bounded number of bins, so no task gets more of one group)."""
     binned = _distance(fit, stats).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(FAR)) * BINS).cast("long"))
-    counts = binned.groupBy("__g", "__st", "__bin").agg(F.count(F.lit(1)).alias("n")).repartition("__g", "__st", "__bin")
+    sums = _sums(binned, "__g", "__st", "__bin").repartition("__g", "__st", "__bin")
     w = Window.partitionBy("__g", "__st")
-    met = counts.select("__g", "__st", "__bin", F.sum("n").over(w.orderBy("__bin")).alias("upto"), F.sum("n").over(w).alias("n"))
-    # written first: a row per group, so that its size is known when the rows meet it, and no group is dealt to one task
-    level = stash(met.filter(CORE_DENOMINATOR * F.col("upto") >= CORE_NUMERATOR * F.col("n")).groupBy("__g", "__st").agg(F.min("__bin").alias("__level")))
-    core = binned.join(level, ["__g", "__st"]).filter("__bin <= __level")
-    out = _moments(core, "__g", "__st").join(stats.select("__g", "__st", *[f"__f{i}" for i in DIM]), ["__g", "__st"])
-    return _factored(out, CONSISTENCY).select("__g", "__st", *STATS)
+    met = sums.select("*", (F.sum("n").over(w.orderBy("__bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
+    core = met.filter(CORE_DENOMINATOR * F.col("before") < CORE_NUMERATOR * F.col("all")).groupBy("__g", "__st")
+    names = ["n", *(f"s{i}" for i in DIM), *(f"s{i}{j}" for i, j in PAIRS)]
+    old = stats.selectExpr("__g", "__st", *[f"__f{i}" for i in DIM], *[f"{c} AS {c}_old" for c in STATS])
+    out = _means(core.agg(*[F.expr(f"sum({c}) AS {c}") for c in names]), "__g", "__st").join(old, ["__g", "__st"])
+    return _factored(out, CONSISTENCY).selectExpr("__g", "__st", *STATS, " AND ".join(f"{c} = {c}_old" for c in STATS) + " AS __same")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, cutoff: float = CUTOFF, steps: int = MOST_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
@@ -235,11 +257,11 @@ def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFr
     best = stats.groupBy("__g").agg(F.min(F.struct(determinant.alias("det"), "__st", *STATS)).alias("best"))
     stats = stash(best.select("__g", "best.__st", *[f"best.{c}" for c in STATS]))
     for _ in range(steps):
-        before, stats = stats, stash(_concentrate(fit, stats))
-        if stats.select("__g", *STATS).exceptAll(before.select("__g", *STATS)).isEmpty():  # a row for each group
+        stats = stash(_concentrate(fit, stats))
+        if stats.filter("not __same").isEmpty():  # a row for each group
             break
     fit.unpersist()
-    return uses, stats.drop("__st")
+    return uses, stats.drop("__st", "__same")
 
 
 def _verdict(rows: DataFrame, uses: DataFrame, stats: DataFrame, cutoff: float) -> DataFrame:
@@ -296,24 +318,28 @@ UNION ALL SELECT 'a', {xs} FROM keyed WHERE 'a' IN (SELECT own FROM keyed)""")
     let("med2", f"SELECT g, {quarters}, min(v) FILTER (WHERE dim = 5 AND {SHORT} * k >= n) AS short FROM med1 GROUP BY g")
     moments = ", ".join([f"sum(x{i})::DOUBLE / count(*) AS a{i}" for i in dims] + [f"sum(x{i} * x{j})::DOUBLE / count(*) AS a{i}{j}" for i, j in pairs])
     let("all0", f"SELECT g, {moments} FROM fit GROUP BY g")
-    one = [f"1.0::DOUBLE / {UNIT}", "ln(1 + 100 / (chars + 50))", "ln(1 + 100 / (words + 50))", f"ln(1 + {100.0 * 2 * w}::DOUBLE / (words + 50))", f"1.0::DOUBLE / {UNIT}"]
+    let("met0", f"SELECT dim, min(v) FILTER (WHERE 4 * k >= n) AS q1, min(v) FILTER (WHERE 4 * k >= 3 * n) AS q3 FROM (SELECT dim, v, row_number() OVER (PARTITION BY dim ORDER BY v) AS k, count(*) OVER (PARTITION BY dim) AS n FROM med0 WHERE dim IN (1, 5)) GROUP BY dim")
+    whole = lambda i, least: f"greatest({least}::DOUBLE, coalesce((SELECT (q3 - q1) / {1.349 * UNIT!r}::DOUBLE FROM met0 WHERE dim = {i}), 0))"
+    one = [whole(1, LEAST_WORD_LENGTH), "ln(1 + 100 / (chars + 50))", "ln(1 + 100 / (words + 50))", f"ln(1 + {100.0 * 2 * w}::DOUBLE / (words + 50))", whole(5, LEAST_LENGTH)]
     floors = ", ".join(f"floor(({f}) * 1024 + 0.5) / 1024.0::DOUBLE AS f{i}" for i, f in zip(dims, one, strict=True))
     let("base0", f"""SELECT *, {floors} FROM (SELECT *, greatest(exp(q21 / {u}) * (raw + {PRIOR_WORDS}) - {float(PRIOR_CHARS * PRIOR_WORDS)}::DOUBLE, 0.0::DOUBLE) AS chars, greatest(raw, 0.0::DOUBLE) AS words
   FROM (SELECT med2.*, all0.* EXCLUDE (g), exp(short / {u}) - 10 AS raw FROM med2 JOIN all0 USING (g)))""")
     spread = lambda i, j: f"((a{i}{j} - a{i} * a{j}) / {uu})"
     keep = ", ".join([*(f"m{i}" for i in dims), *(f"l{i}{j}" for i, j in pairs), *(f"f{i}" for i in dims)])
 
+    least = lambda v, i: f"greatest({v}, f{i} * f{i}) * {1 + RIDGE}::DOUBLE"
+
     def factored(at: str, factor: float) -> str:
         for i, j in pairs:
             v = f"{factor!r}::DOUBLE * {spread(i, j)}"
             if i == j:
-                v += f" + f{i} * f{i}"
+                v = least(v, i)
             v += "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
             at = f"(SELECT *, {f'sqrt({v})' if i == j else f'({v}) / l{j}{j}'} AS l{i}{j} FROM {at})"
         return f"(SELECT *, {', '.join(f'a{i} / {u} AS m{i}' for i in dims)} FROM {at})"
 
     def diagonal(start: int, variance) -> str:
-        scale = ", ".join((f"sqrt({variance(i)} + f{i} * f{i})" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in pairs)
+        scale = ", ".join((f"sqrt({least(variance(i), i)})" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in pairs)
         return f"SELECT g, {start} AS st, {', '.join(f'q2{i} / {u} AS m{i}' for i in dims)}, {scale}, {', '.join(f'f{i}' for i in dims)} FROM base0"
 
     quartile = lambda i: f"((q3{i} - q1{i}) / {1.349 * UNIT!r}::DOUBLE) * ((q3{i} - q1{i}) / {1.349 * UNIT!r}::DOUBLE)"

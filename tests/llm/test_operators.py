@@ -75,6 +75,15 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept.filter("doc_id = 5").first().text == good[5][1]
 
 
+def test_quality_where_most_of_a_source_is_one_text(spark):
+    """Copies have no spread; texts of other lengths beside them are no outliers for that, and junk still is."""
+    same = [(i, wordy(1, 120), "en", "s1") for i in range(300)]  # a third of all rows, three quarters of a source
+    others = [(1000 + i, wordy(i, 15 + 9 * (i % 50)), "en", f"s{1 + i % 6}") for i in range(600)]
+    junk = [(2000 + i, " ".join(x + "%%%&&&***" for x in wordy(i, 60).split()), "en", "s1") for i in range(5)]
+    got = {r.doc_id: r for r in quality.judge(table(spark, same + others + junk)).collect()}
+    assert all(got[i].kept for i, *_ in same + others) and not any(got[i].kept for i, *_ in junk)
+
+
 def test_quality_of_odd_rows(spark):
     assert quality.judge(table(spark, ODD)).count() == len(ODD)
     assert quality.judge(table(spark, [])).count() == 0
