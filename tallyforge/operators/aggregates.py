@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wrapping import wrapping_sum
-from ..schema import integer_column
+from ..schema import integer_column, ordered_column
 
 
 def count_rows() -> Column:
@@ -23,6 +23,15 @@ def max_or_zero(df: DataFrame, column: str | int) -> Column:
     return F.coalesce(F.max(F.col(integer_column(df, column)).cast("long")), F.lit(0).cast("long"))
 
 
+def min_or_zero(df: DataFrame, column: str | int) -> Column:
+    return F.coalesce(F.min(F.col(integer_column(df, column)).cast("long")), F.lit(0).cast("long"))
+
+
+def mean(df: DataFrame, column: str | int) -> Column:
+    """Null over no rows; unlike a sum, a mean of nothing is not 0."""
+    return F.avg(F.col(ordered_column(df, column)))
+
+
 def count_where(predicate: Column) -> Column:
     return F.count_if(predicate)
 

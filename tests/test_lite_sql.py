@@ -48,10 +48,28 @@ def test_groups_order_limit(view):
     assert [tuple(r) for r in got] == [(9, 1, 90), (8, 1, 80)]
 
 
+def test_texts_lists_and_logic(view):
+    n = lambda where: one(view, f"SELECT COUNT(*) FROM records WHERE {where}")[0]
+    assert n("message = 'line 3 it''s'") == 1 and n("message <> 'line 3 it''s'") == 9
+    assert n("value IN (10, 20, 999)") == 2 and n("message NOT IN ('line 3 it''s', 'x')") == 9
+    assert n("message LIKE 'line _ %'") == 10 and n("message NOT LIKE '%3%'") == 9
+    assert n("value < 20 OR value > 70") == 4 and n("NOT (value < 20 OR value > 70) AND ts <> 5") == 5
+    assert n("value > 10 AND value < 30 OR ts = 9") == 2 and n("value > 10 AND (value < 30 OR ts = 9)") == 2
+    assert n("value > 45.5") == 5 and n("message BETWEEN 'line 2' AND 'line 4'") == 2
+    assert n("message IS NULL") == 0 and n("message IS NOT NULL") == 10
+
+
+def test_rows_least_and_mean(view):
+    assert one(view, "SELECT MIN(value), MAX(value), AVG(ts) FROM records WHERE ts > 3") == (40, 90, 6.5)
+    assert one(view, "SELECT MIN(value), AVG(value) FROM records WHERE ts > 99") == (0, None)
+    got = lite_sql(view, "SELECT message, 0 FROM records WHERE value >= 50 ORDER BY ts DESC LIMIT 2 OFFSET 1")
+    assert [tuple(r) for r in got.collect()] == [("line 8 it's", 8), ("line 7 it's", 7)]
+    assert lite_sql(view, "SELECT * FROM records ORDER BY message LIMIT 3").columns == ["ts", "value", "message"]
+
+
 @pytest.mark.parametrize(
     "text",
     [
-        "SELECT MIN(1) FROM records",
         "SELECT COUNT(*) FROM records WHERE nothing > 1",
         "SELECT COUNT(*) FROM records WHERE 7 > 1",
         "SELECT SUM(9) FROM records",
@@ -60,12 +78,21 @@ def test_groups_order_limit(view):
         "SELECT COUNT(*) FROM records WHERE value CONTAINS '5'",
         "SELECT COUNT(*) FROM records WHERE message CONTAINS ''",
         "SELECT COUNT(*) FROM records WHERE message CONTAINS 'open",
-        "SELECT COUNT(*) FROM records WHERE value > 1.5",
         "SELECT COUNT(*) FROM records WHERE value > = 5",
-        "SELECT COUNT(*) FROM records WHERE value > 1 OR value > 2",
+        "SELECT COUNT(*) FROM records WHERE value = 'ERROR'",
+        "SELECT COUNT(*) FROM records WHERE message = 5",
+        "SELECT COUNT(*) FROM records WHERE message IN ('a', 5)",
+        "SELECT COUNT(*) FROM records WHERE message NOT 'a'",
+        "SELECT COUNT(*) FROM records WHERE value LIKE '5'",
+        "SELECT COUNT(*) FROM records WHERE (value > 1",
+        "SELECT COUNT(*) FROM records WHERE value IS 5",
+        "SELECT COUNT(*) FROM records WHERE",
+        "SELECT value, COUNT(*) FROM records",
+        "SELECT * FROM records GROUP BY value",
+        "SELECT value FROM records LIMIT 1.5",
+        "SELECT MEDIAN(value) FROM records",
         "SELECT COUNT(*) FROM records extra",
         "SELECT COUNT(*)",
-        "SELECT value FROM records",
         "SELECT message, COUNT(*) FROM records GROUP BY value",
         "COUNT(*) FROM records",
         "",
@@ -78,7 +105,7 @@ def test_errors(view, text):
 
 def test_plan_is_plain_data():
     p = parse("SELECT COUNT(*) FROM 'a b''c' WHERE 0 > -3")
-    assert (p.table, p.is_path, p.predicates[0].low) == ("a b'c", True, -3)
+    assert (p.table, p.is_path, p.where.low) == ("a b'c", True, -3)
 
 
 def test_generated_records(spark, tmp_path):
