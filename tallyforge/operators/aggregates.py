@@ -41,6 +41,7 @@ def summarise(df: DataFrame, *keys: str, **aggregates: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first k rows in an order: each task keeps k, so nothing is sorted as a whole."""
-    return df.orderBy(*order).limit(k)
+def top(df: DataFrame, k: int, *order: Column, skip: int = 0) -> DataFrame:
+    """The first k rows in an order, after those to skip: each task keeps k + skip, so nothing is sorted as a whole."""
+    rows = df.orderBy(*order)
+    return (rows.offset(skip) if skip else rows).limit(k)

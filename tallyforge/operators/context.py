@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import operator
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.parts import numbered
+
 
 def with_dimension(facts: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """An equi-join; the optimiser broadcasts the dimension where its measured size allows, and deals both
@@ -44,11 +49,26 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return met.filter(F.col(at).between(F.col(low), F.col(high))).drop("__bucket")
 
 
-def drift(df: DataFrame, value: str, by: list[str], order: list[str], rows: int = 20) -> DataFrame:
-    """Adds z: how many standard deviations a value lies from the mean of the rows before it (null: too few, or none varies)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-rows, -1)
+#: Rows of one key that a window looks at in one task.
+BLOCK_ROWS = 1 << 16
+
+
+def drift(df: DataFrame, value: str, by: list[str], order: list[str], rows: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds z: how many standard deviations a value lies from the mean of the rows before it (null: too few, or none varies).
+
+    Rows are numbered in the order of ``by`` and ``order`` and cut into blocks, so that one busy key is many tasks; the
+    last rows of each block go along with the next one.
+    """
+    if rows >= block_rows:
+        raise ValueError("a block must hold more rows than a window")
+    own = F.floor(F.col("__row") / block_rows)
+    edge = F.col("__row") % block_rows >= block_rows - rows
+    ordered = numbered(df, *by, *order)
+    every = ordered.withColumn("__block", F.explode(F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*by, "__block").orderBy("__row").rowsBetween(-rows, -1)
     mean, sd = F.avg(value).over(w), F.stddev_samp(value).over(w)
-    return df.withColumn("z", F.when(sd > 0, (F.col(value) - mean) / sd))
+    found = every.withColumn("z", F.when(sd > 0, (F.col(value) - mean) / sd))
+    return found.filter(F.col("__block") == own).drop("__row", "__block")
 
 
 def as_at(df: DataFrame, ingested: str, moment) -> DataFrame:
@@ -67,5 +87,15 @@ def best_setting(df: DataFrame, by: str, setting: str, outcome: str) -> DataFram
     return means.groupBy(by).agg(F.max_by(setting, F.struct("mean_outcome", setting)).alias("best_setting"), F.max("mean_outcome").alias("mean_outcome"))
 
 
-def running(column: Column | str, by: list[str], order: list[str]) -> Column:
-    return F.sum(column).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def running(df: DataFrame, value: str, by: list[str], order: list[str], name: str = "total", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the sum of ``value`` up to each row of its key.  Blocks are summed first, and each starts from the sum of
+    those before it, so that one busy key is many tasks."""
+    ordered = numbered(df, *by, *order).withColumn("__block", F.floor(F.col("__row") / block_rows))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__block").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    sums = ordered.groupBy(*by, "__block").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__block").alias("__of"), F.sum("__sum").over(before).alias("__before"))
+    same = reduce(operator.and_, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], F.col("__block") == F.col("__of"))
+    joined = ordered.withColumn("__inside", inside).join(starts, same)
+    total = F.when(F.col("__before").isNull(), F.col("__inside")).when(F.col("__inside").isNull(), F.col("__before")).otherwise(F.col("__before") + F.col("__inside"))
+    return joined.select(*df.columns, total.alias(name))

@@ -146,6 +146,26 @@ def q12b_lite_grouped(spark, sf_dir):
     return _lite(spark, sf_dir, "SELECT event_type, COUNT(*), MAX(user_id) FROM EVENTS WHERE user_id >= 10 GROUP BY event_type ORDER BY count DESC, event_type LIMIT 3")
 
 
+@query("SELECT count(*)::BIGINT AS \"count\" FROM events WHERE event_type = 'click'")
+def q12c_lite_text(spark, sf_dir):
+    return _lite(spark, sf_dir, "SELECT COUNT(*) FROM EVENTS WHERE event_type = 'click'")
+
+
+@query("SELECT min(user_id)::BIGINT AS min_user_id, avg(user_id) AS avg_user_id, count(*)::BIGINT AS \"count\" FROM events WHERE (event_type IN ('click', 'view') OR props LIKE '%7%') AND NOT user_id = 33 AND props IS NOT NULL AND value >= 1.5")
+def q12d_lite_logic(spark, sf_dir):
+    return _lite(spark, sf_dir, "SELECT MIN(user_id), AVG(user_id), COUNT(*) FROM EVENTS WHERE (event_type IN ('click', 'view') OR props LIKE '%7%') AND NOT user_id = 33 AND props IS NOT NULL AND value >= 1.5")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click') ORDER BY event_id DESC LIMIT 7 OFFSET 2")
+def q12e_lite_rows(spark, sf_dir):
+    return _lite(spark, sf_dir, "SELECT event_id, 3 FROM EVENTS WHERE event_type NOT IN ('click') ORDER BY event_id DESC LIMIT 7 OFFSET 2")
+
+
+@query("SELECT event_id, epoch_us(ts + INTERVAL 36 HOURS)::BIGINT AS later_us, epoch_us(ts - INTERVAL 1 MONTH)::BIGINT AS before_us, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS days FROM events")
+def q06b_intervals(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", F.unix_micros((F.col("ts") + F.expr("INTERVAL 36 HOURS")).cast("timestamp")).alias("later_us"), F.unix_micros((F.col("ts") - F.expr("INTERVAL 1 MONTH")).cast("timestamp")).alias("before_us"), F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("days"))
+
+
 # parts
 
 _GRANULES = "SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // 1000 AS g, epoch_us(ts) AS t FROM events"
@@ -194,7 +214,14 @@ def q16_pruned_range(spark, sf_dir):
 
 @query("SELECT 'online' AS state, count(*)::BIGINT AS n_rows, 6::INTEGER AS n_columns, 8192::INTEGER AS page_rows FROM events")
 def q16b_part_status(spark, sf_dir):
-    return parts.status(spark, f"{sf_dir}/events.parquet").drop("n_files")
+    return parts.status(spark, f"{sf_dir}/events.parquet").drop("n_files", "n_bytes")
+
+
+@query("SELECT codec, count(*)::BIGINT AS n_rows, codec <> 'uncompressed' AS is_smaller FROM events CROSS JOIN (VALUES ('uncompressed'), ('snappy'), ('zstd')) c(codec) GROUP BY codec")
+def q15b_codecs(spark, sf_dir):
+    sizes = parts.codec_sizes(_events(spark, sf_dir), shared_path(spark, "codecs"), ["uncompressed", "snappy", "zstd"], "ts", "event_id")
+    plain = sizes.agg(F.max("n_bytes")).first()[0]
+    return sizes.select("codec", "n_rows", (F.col("n_bytes") < plain).alias("is_smaller"))
 
 
 @query("SELECT count(*)::BIGINT AS n, min(ts)::BIGINT AS first_ts, max(ts)::BIGINT AS last_ts, count(*) FILTER (WHERE value BETWEEN 0 AND 999)::BIGINT AS in_bounds FROM (SELECT range AS ts, 0 AS value FROM range(20000))")
@@ -223,11 +250,11 @@ def q18b_report_by_group(spark, sf_dir):
     return S.indicator_report(_table(spark, sf_dir, "conversations"), "text", ["e", "in"], "role")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, {_HITS.format(c='text', p=p, n=len(p))} AS hits FROM documents" for p in ("the", "and", "/.env")))
 def q18c_scan_files(spark, sf_dir):
-    at = shared_path(spark, "weblog")
-    logs.made_weblog(spark, 20000).write.text(at)
-    return S.scan_files(spark, [at, at + "-missing"], logs.INDICATORS).groupBy("pattern").agg(F.sum("hits").alias("hits"))
+    at = shared_path(spark, "raw")
+    _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit(""))).write.text(at)
+    return S.scan_files(spark, [at, at + "-missing"], ["the", "and", "/.env"]).groupBy("pattern").agg(F.sum("hits").alias("hits"))
 
 
 @query("SELECT 20000::BIGINT AS n_lines, 20000::BIGINT AS n_parsed, 4::BIGINT AS n_odd, 0::BIGINT AS n_other_odd_status")
@@ -283,6 +310,27 @@ def q21b_cube(spark, sf_dir):
     return _table(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.grouping("c_nationkey").alias("g")).fillna(-1, ["c_nationkey"])
 
 
+_LOOSE = "coalesce(c_mktsegment, '-') AS c_mktsegment, coalesce(c_nationkey, -1)::INTEGER AS c_nationkey, count(*)::BIGINT AS n"
+
+
+@query(f"SELECT {_LOOSE} FROM customer GROUP BY ROLLUP (customer.c_mktsegment, customer.c_nationkey)")
+def q21c_rollup(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").rollup("c_mktsegment", "c_nationkey").agg(A.count_rows().alias("n")).fillna(-1, ["c_nationkey"]).fillna("-", ["c_mktsegment"])
+
+
+@query(f"SELECT {_LOOSE} FROM customer GROUP BY GROUPING SETS ((customer.c_mktsegment), (customer.c_nationkey), ())")
+def q21d_grouping_sets(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    sets = c.groupingSets([["c_mktsegment"], ["c_nationkey"], []], "c_mktsegment", "c_nationkey")
+    return sets.agg(A.count_rows().alias("n")).fillna(-1, ["c_nationkey"]).fillna("-", ["c_mktsegment"])
+
+
+@query("SELECT event_type, round(stddev_samp(user_id), 6) AS sd, round(var_pop(user_id), 6) AS variance, median(user_id) AS middle, TRUE AS about FROM events GROUP BY event_type")
+def q21e_spread(spark, sf_dir):
+    about = F.abs(F.approx_count_distinct("user_id", 0.02) - F.count_distinct("user_id")) <= 0.1 * F.count_distinct("user_id")
+    return A.summarise(_events(spark, sf_dir), "event_type", sd=F.round(F.stddev_samp("user_id"), 6), variance=F.round(F.var_pop("user_id"), 6), middle=F.median("user_id"), about=about)
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
 def q22_top_k(spark, sf_dir):
     return A.top(A.summarise(_events(spark, sf_dir), "event_type", n=A.count_rows()), 3, F.col("n").desc(), F.col("event_type"))
@@ -293,6 +341,11 @@ def q22b_preview(spark, sf_dir):
     return A.top(_events(spark, sf_dir).select("event_id", "user_id", "value"), 3, F.col("event_id"))
 
 
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 4 OFFSET 11")
+def q22c_offset(spark, sf_dir):
+    return A.top(_events(spark, sf_dir).select("event_id", "user_id"), 4, F.col("event_id"), skip=11)
+
+
 @query("SELECT c_mktsegment, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def q23_fact_dimension(spark, sf_dir):
     o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
@@ -314,10 +367,12 @@ def q24_as_of(spark, sf_dir):
     return C.as_of(left, right, ["user_id"], "ts", "click_ts", ["click_id"], ["click_id"]).select("event_id", "user_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"))
 
 
-@query("SELECT e.event_id, r.lo FROM events e JOIN (SELECT x * 100 AS lo, x * 100 + 30 AS hi FROM range(20) t(x)) r ON e.event_id BETWEEN r.lo AND r.hi")
+@query("SELECT e.event_id, r.lo FROM events e JOIN (SELECT DISTINCT event_id // 100 * 100 AS lo FROM events) r ON e.event_id BETWEEN r.lo AND r.lo + 30")
 def q24b_range_join(spark, sf_dir):
-    ranges = spark.range(20).select((F.col("id") * 100).alias("lo"), (F.col("id") * 100 + 30).alias("hi"))
-    return C.range_join(_events(spark, sf_dir), ranges, "event_id", "lo", "hi", 50.0).select("event_id", "lo")
+    e = _events(spark, sf_dir)
+    low = (F.floor(F.col("event_id") / 100) * 100).cast("long")
+    ranges = e.select(low.alias("lo"), (low + 30).alias("hi")).distinct()
+    return C.range_join(e, ranges, "event_id", "lo", "hi", 50.0).select("event_id", "lo")
 
 
 _RICH = "SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000"
@@ -337,6 +392,14 @@ def q25b_outer_join(spark, sf_dir):
     return n.join(s, n.n_nationkey == s.s_nationkey, "full").select("n_name", "s_name")
 
 
+@query("SELECT 'left' AS kind, n_name, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey UNION ALL SELECT 'right', n_name, s_name FROM supplier RIGHT JOIN nation ON n_nationkey = s_nationkey AND s_acctbal > 0")
+def q25d_one_sided_joins(spark, sf_dir):
+    n, s = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "supplier")
+    same = n.n_nationkey == s.s_nationkey
+    left = n.join(s, same, "left").select(F.lit("left").alias("kind"), "n_name", "s_name")
+    return left.unionByName(s.join(n, same & (s.s_acctbal > 0), "right").select(F.lit("right").alias("kind"), "n_name", "s_name"))
+
+
 @query("(SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase') EXCEPT SELECT user_id FROM events WHERE user_id > 75 UNION SELECT -1")
 def q25c_set_operations(spark, sf_dir):
     e = _events(spark, sf_dir)
@@ -350,7 +413,7 @@ SELECT event_id, round((value - m) / s, 6) AS z FROM (SELECT event_id, value, av
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 """)
 def q26_drift(spark, sf_dir):
-    return C.drift(_events(spark, sf_dir), "value", ["event_type"], ["ts", "event_id"]).select("event_id", F.round("z", 6).alias("z"))
+    return C.drift(_events(spark, sf_dir).select("event_id", "ts", "event_type", "value"), "value", ["event_type"], ["ts", "event_id"]).select("event_id", F.round("z", 6).alias("z"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events")
@@ -370,7 +433,7 @@ def q27c_best_setting(spark, sf_dir):
 
 @query("SELECT event_id, sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM events")
 def q27d_running_total(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", C.running("user_id", ["event_type"], ["ts", "event_id"]).alias("total"))
+    return C.running(_events(spark, sf_dir).select("event_id", "ts", "event_type", "user_id"), "user_id", ["event_type"], ["ts", "event_id"]).select("event_id", "total")
 
 
 # streams
@@ -378,74 +441,119 @@ def q27d_running_total(spark, sf_dir):
 _EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def _stream(spark, sf_dir):
-    """The even events as a part that a stream reads."""
+def _stream(spark, sf_dir, where="true", heartbeat=False):
+    """The events as a part that a stream reads; with a heartbeat also one event of a far day, which ends all windows."""
     at = shared_path(spark, "stream-in")
-    parts.write_part(_events(spark, sf_dir).filter("event_id % 2 = 0").withColumn("ts", F.col("ts").cast("timestamp")), at, "ts", "event_id")
+    e = _events(spark, sf_dir).filter(where).withColumn("ts", F.col("ts").cast("timestamp"))
+    if heartbeat:
+        e = e.unionByName(spark.sql("SELECT -1L AS event_id, TIMESTAMP '2100-01-01' AS ts, -1L AS user_id, '' AS event_type, 0D AS value, '' AS props"))
+    parts.write_part(e, at, "ts", "event_id")
     return live.stream_parts(spark, at, _EVENT)
 
 
-@query("SELECT epoch_us(date_trunc('day', ts))::BIGINT AS day_us, event_type, count(*)::BIGINT AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2")
+@query("SELECT epoch_us(date_trunc('day', ts))::BIGINT AS day_us, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def q28_tumbling(spark, sf_dir):
-    out = live.drain(live.tumbling(_stream(spark, sf_dir), "ts", "1 day", "event_type"))
+    out = live.drain(live.tumbling(_stream(spark, sf_dir), "ts", "1 day", "event_type", delay="2 days"), "update", "window_start", "event_type")
     return out.select(F.unix_micros("window_start").alias("day_us"), "event_type", "n")
 
 
 @query("""
 SELECT epoch_us(t - to_hours(h::BIGINT))::BIGINT AS start_us, count(*)::BIGINT AS n FROM
-(SELECT date_trunc('hour', ts) AS t, unnest([0, 1, 2]) AS h FROM events WHERE event_id % 2 = 0) GROUP BY 1
+(SELECT date_trunc('hour', ts) AS t, unnest([0, 1, 2]) AS h FROM events) GROUP BY 1
 """)
 def q28b_sliding(spark, sf_dir):
-    out = live.drain(live.tumbling(_stream(spark, sf_dir), "ts", "3 hours", slide="1 hour"))
+    out = live.drain(live.tumbling(_stream(spark, sf_dir), "ts", "3 hours", slide="1 hour", delay="2 days"), "update", "window_start")
     return out.select(F.unix_micros("window_start").alias("start_us"), "n")
 
 
+@query("SELECT epoch_us(date_trunc('day', ts))::BIGINT AS day_us, count(*)::BIGINT AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' GROUP BY 1")
+def q28c_late_data(spark, sf_dir):
+    """The first days come in after the watermark has passed them: their windows are closed."""
+    at = shared_path(spark, "stream-in")
+    e = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    parts.write_part(e.filter("ts >= '2024-01-05'"), at, "ts", "event_id", files=1)
+    stream = live.stream_parts(spark, at, _EVENT, files_per_batch=1)
+    late = lambda: parts.write_part(e.filter("ts < '2024-01-05'"), at, "ts", "event_id", files=1, mode="append")
+    out = live.drain(live.tumbling(stream, "ts", "1 day", delay="1 day"), "update", "window_start", again=late)
+    return out.select(F.unix_micros("window_start").alias("day_us"), "n")
+
+
 @query("""
-WITH e AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 2 = 0),
-f AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+WITH f AS (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
 SELECT user_id, epoch_us(min(ts))::BIGINT AS start_us, epoch_us(max(ts) + INTERVAL 6 HOURS)::BIGINT AS end_us, count(*)::BIGINT AS n FROM s GROUP BY user_id, k
 """)
 def q29_sessions(spark, sf_dir):
-    out = live.drain(live.sessions(_stream(spark, sf_dir), "ts", "6 hours", "user_id"))
-    return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+    out = live.drain(live.sessions(_stream(spark, sf_dir, heartbeat=True), "ts", "6 hours", "user_id", delay="2 days"), "append")
+    return out.filter("user_id >= 0").select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def q30_live_tail(spark, sf_dir):
-    into = shared_path(spark, "ingested")
-    live.ingest(_stream(spark, sf_dir), into, shared_path(spark, "log"), "ts", "event_id").awaitTermination()
-    names = ["event_id", "user_id", "event_type"]
-    flushed = parts.read_part(spark, into, schema=_EVENT).select(*names)
-    return live.live_tail(flushed, _events(spark, sf_dir).filter("event_id % 2 = 1").select(*names))
+    """Three batches: two have become a part when the query runs, one is in flight."""
+    at = shared_path(spark, "stream-in")
+    e = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    parts.write_part(e, at, "ts", "event_id", files=3)
+    table = live.LiveTable(spark, shared_path(spark, "live"), _EVENT, "ts", "event_id", flush_rows=e.count() // 2)
+    table.ingest(live.stream_parts(spark, at, _EVENT, files_per_batch=1), shared_path(spark, "log")).awaitTermination()
+    return table.read().select("event_id", "user_id", "event_type")
 
 
-@query("SELECT c_mktsegment, count(*)::BIGINT AS n FROM events JOIN customer ON user_id = c_custkey WHERE event_id % 2 = 0 GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, count(*)::BIGINT AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY c_mktsegment")
 def q30b_stream_dimension(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     joined = C.with_dimension(_stream(spark, sf_dir), c, "user_id", "inner")
     return live.drain(joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0")
+@query("SELECT DISTINCT user_id FROM events")
 def q30c_stream_distinct(spark, sf_dir):
     return live.drain(live.distinct_within(_stream(spark, sf_dir), "ts", "60 days", "user_id").select("user_id"), "append")
 
 
+@query("SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 12 HOURS")
+def q30d_stream_join(spark, sf_dir):
+    clicks = _stream(spark, sf_dir, "event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    bought = _stream(spark, sf_dir, "event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
+    return live.drain(live.stream_join(clicks, bought, "user_id", "click_ts", "ts", "12 hours", "2 days"), "append").select("click_id", "purchase_id")
+
+
+@query("SELECT count(*)::BIGINT AS n_rows FROM events")
+def q30e_health(spark, sf_dir):
+    done = live.ingest(_stream(spark, sf_dir), shared_path(spark, "ingested"), shared_path(spark, "log"), "ts", "event_id")
+    done.awaitTermination()
+    return live.health_table(spark, done).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+
+
 # other sources
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 4 < 3")
+@query("SELECT event_id, user_id, event_type FROM events")
 def q31_formats(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "user_id", "event_type")
     out = []
-    for i, kind in enumerate(("orc", "json", "csv")):
+    for i, kind in enumerate(("orc", "json", "csv")):  # a third of the table each
         at = shared_path(spark, kind)
-        readers.write_files(e.filter(F.col("event_id") % 4 == i), at, kind)
+        readers.write_files(e.filter(F.col("event_id") % 3 == i), at, kind)
         out.append(readers.read_files(spark, at, kind, e.schema))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("SELECT range::BIGINT AS line_no, 'line ' || range AS line FROM range(20000)")
+def q31b_numbered_lines(spark, sf_dir):
+    at = shared_path(spark, "lines")
+    spark.range(20000).coalesce(1).select(F.concat(F.lit("line "), F.col("id"))).write.text(at)
+    return logs.numbered_lines(spark, at).select("line_no", "line")
+
+
+@query("SELECT n_name AS line FROM nation UNION ALL SELECT text FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM conversations) WHERE text <> ''")
+def q31c_wide_text(spark, sf_dir):
+    at = shared_path(spark, "utf16")
+    told = _table(spark, sf_dir, "conversations").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter("line <> ''")
+    logs.write_lines(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("line")).unionByName(told), at, encoding="UTF-16LE", line_end="\r\n")
+    return logs.read_lines(spark, at, encoding="UTF-16LE").select("line")
+
+
 _SYSLOG = ["<34>Oct 11 22:14:15 mymachine su[230]: failed for lonvick", "<165>1 2024-10-11T22:14:15.003Z host.example.com app 77 ID47 - started", "no syslog", "<13>Feb  5 17:32:18 10.0.0.99 cron: run"]
 
 

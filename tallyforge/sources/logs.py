@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# fixed values: the made-up web log's parts
+from ..session import settle
+
+# made-up values of ordinary lines
 IPS = ["192.168.1.10", "10.0.0.5", "172.16.0.3", "192.168.1.22", "10.1.1.7"]
 METHODS = ["GET", "POST"]
 PATHS = ["/index.html", "/login", "/api/data", "/images/logo.png", "/about"]
+# fixed values: weights of the statuses, and what suspicious lines hold
 STATUSES = ["200", "200", "200", "301", "404", "500"]
 ODD_IPS = ["13.37.13.37", "6.6.6.6"]
 ODD_PATHS = ["/admin", "/.env", "/wp-login.php", "/shell.php"]
@@ -20,15 +23,43 @@ LINE = r"^\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\] \S+ \S+ \S+ \d{3}\s*$"
 
 
 def read_lines(spark: SparkSession, *paths: str, encoding: str | None = None) -> DataFrame:
-    """One row per line, with the file it came from.  UTF-8 files are split among tasks; a file in another
-    encoding is read whole, as its line ends are not single bytes."""
+    """One row per line, with the file it came from.  Files are split among tasks, also those of another encoding that
+    has one byte for a line end; others (UTF-16) are read whole, so they must be under 2 GB each."""
     if encoding:
-        text = F.regexp_replace(F.decode("content", encoding), "\r?\n$", "")
-        return spark.read.format("binaryFile").load(list(paths)).select(F.explode(F.split(text, "\r?\n")).alias("line"), F.col("path").alias("file"))
+        if len("\n".encode(encoding)) > 1:
+            return _wide_lines(spark, paths, encoding)
+        raw = spark.read.text(list(paths)).select(F.decode(F.col("value").cast("binary"), encoding).alias("value"), "_metadata.file_path")
+        bare = F.regexp_replace("value", "\r$", "")
+        return raw.select(bare.alias("line"), F.col("file_path").alias("file"))
     bare = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     return spark.read.text(list(paths)).select(bare.alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
+def _wide_lines(spark: SparkSession, paths: tuple[str, ...], encoding: str) -> DataFrame:
+    """Lines of files whose code units have two bytes: such a file is one task, as a line end's bytes may also stand
+    across two units.  The byte order mark is not part of the first line."""
+    text = F.regexp_replace(F.regexp_replace(F.decode("content", encoding), "^\ufeff", ""), "\r?\n$", "")
+    return spark.read.format("binaryFile").load(list(paths)).select(F.explode(F.split(text, "\r?\n")).alias("line"), F.col("path").alias("file"))
+
+
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """line_no (from 0 in its file), line, file.  Files are read in ranges; a prefix sum over the ranges' line counts
+    gives where each one starts, so a large file is many tasks."""
+    bare = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    raw = spark.read.text(list(paths)).select(bare.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    kept = settle(raw, "lines")  # ids follow a range's lines, and are fixed once written
+    ranges = kept.groupBy("file", "__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranges.select("file", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    joined = kept.join(starts, ["file", "__at"])
+    return joined.select((F.col("__before") + F.col("__id") - F.col("__first")).alias("line_no"), "line", "file")
+
+
+def write_lines(df: DataFrame, path: str, column: str = "line", *, encoding: str = "UTF-8", line_end: str = "\n") -> None:
+    """Text files of one column in an encoding, each line with its end."""
+    df.select(F.coalesce(F.col(column), F.lit("")).alias("value")).select(F.encode("value", encoding).cast("string").alias("value")).write.option("lineSep", line_end.encode(encoding).decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the paths that exist, in any store that Spark reaches."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()

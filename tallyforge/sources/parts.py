@@ -82,7 +82,26 @@ def pruning_report(index: DataFrame, low, high) -> DataFrame:
     return index.agg(F.count_if(touched).alias("matched"), F.count(F.lit(1)).alias("total"), F.count_if(~touched).alias("skipped"))
 
 
+def file_sizes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and bytes of a part's files; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return tuple(files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())
+
+
+def codec_sizes(df: DataFrame, path: str, codecs: list[str], ts: str = "ts", *ties: str) -> DataFrame:
+    """codec, n_rows, n_bytes of the same rows written as a part with each codec below ``path``."""
+    spark, found = df.sparkSession, []
+    for c in codecs:
+        write_part(df, f"{path}/{c}", ts, *ties, codec=c)
+        rows = read_part(spark, f"{path}/{c}").agg(F.count(F.lit(1)).alias("n_rows"))
+        found.append(rows.select(F.lit(c).alias("codec"), "n_rows", F.lit(file_sizes(spark, f"{path}/{c}")[1]).cast("long").alias("n_bytes")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def status(spark: SparkSession, path: str) -> DataFrame:
-    """What a part holds: files, rows, columns, and the codec and page size that parts are written with."""
+    """What a part holds: whether there are files, their number and bytes, rows and columns, and the page size that parts
+    are written with."""
     df = read_part(spark, path)
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("online").alias("state"), F.lit(len(df.inputFiles())).alias("n_files"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(PAGE_ROWS).alias("page_rows"))
+    n, size = file_sizes(spark, path)
+    facts = [F.lit("online" if n else "empty").alias("state"), F.lit(n).cast("long").alias("n_files"), F.lit(size).cast("long").alias("n_bytes")]
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(*facts, "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(PAGE_ROWS).alias("page_rows"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,43 @@ def test_drift(spark):
     assert got[0] is None and abs(got[15]) < 2 and got[30] > 10
 
 
+def test_blocks_change_nothing(spark):
+    """Drift and running totals with keys that span many blocks, or share one; null keys and values too."""
+    random.seed(6)
+    rows = [(i, random.choice(["a", "a", "a", "b", None]), random.choice([None, 1.0, 2.5, 7.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, v double").repartition(5)
+    want, total = {}, {}
+    for k in ("a", "b", None):
+        own = [(i, v) for i, x, v in rows if x == k]
+        for n, (i, _) in enumerate(own):
+            before = [v for _, v in own[max(0, n - 6) : n] if v is not None]
+            sd = statistics.stdev(before) if len(before) > 1 else 0
+            v = own[n][1]
+            want[i] = round((v - statistics.mean(before)) / sd, 6) if sd and v is not None else None
+            upto = [x for _, x in own[: n + 1] if x is not None]
+            total[i] = sum(upto) if upto else None
+    assert {r.i: r.z for r in C.drift(df, "v", ["k"], ["i"], 6, 10).select("i", F.round("z", 6).alias("z")).collect()} == want
+    assert {r.i: r.total for r in C.running(df, "v", ["k"], ["i"], block_rows=10).collect()} == total
+
+
+def test_runtime_filters_are_in_the_plan(spark):
+    """A selective dimension gives the fact side a filter by bitmap before the join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+    at = shared_path(spark, "facts")
+    spark.range(20000).selectExpr("id % 1000 AS k", "id AS x").write.parquet(f"{at}/f")
+    spark.range(1000).selectExpr("id AS k", "id % 50 AS kind").write.parquet(f"{at}/d")
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = C.with_dimension(spark.read.parquet(f"{at}/f"), spark.read.parquet(f"{at}/d").filter("kind = 3"), "k", "inner")
+        assert "might_contain" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_json_and_snapshots(spark):
     df = spark.createDataFrame([('{"k": 7}', 1), ("broken", 2), (None, 3)], "j string, t int")
     assert [r.k for r in C.json_fields(df, "j", "k INT").orderBy("t").collect()] == [7, None, None]
@@ -74,11 +112,45 @@ def test_ingest_recovers_and_tails(spark):
         q.awaitTermination()
     flushed = parts.read_part(spark, into, schema=SCHEMA)
     assert flushed.count() == 48
-    more = spark.createDataFrame([(100, T0)], SCHEMA)
-    assert live.live_tail(flushed, more).agg(F.max("id")).first()[0] == 100
     assert "batchId" in live.health(q)
 
 
+def test_live_table_flushes_and_merges(spark):
+    """Every row is there at any time, once, whether in flight, in a part or in a merged part."""
+    at, table = _source(spark), None
+    table = live.LiveTable(spark, shared_path(spark, "live"), SCHEMA, "ts", "id", flush_rows=20, merge_parts_at=2)
+    log = shared_path(spark, "log")
+    seen = []
+    for k in range(4):
+        if k:
+            spark.createDataFrame([(1000 * k + i, T0) for i in range(15)], SCHEMA).coalesce(1).write.mode("append").parquet(at)
+        table.ingest(live.stream_parts(spark, at, SCHEMA, files_per_batch=1), log).awaitTermination()
+        assert table.read().count() == table.read().distinct().count() == 48 + 15 * k
+        seen.append((len(table.parts()), len(table.in_flight())))
+    assert any(t for _, t in seen) and any(p for p, _ in seen) and max(p for p, _ in seen) <= 2
+    files = table.spark.read.parquet(*[table._part(s) for s in table.parts()])
+    assert files.count() + spark.read.schema(SCHEMA).parquet(*[table._tail(n) for n in table.in_flight()] or [table._part(table.parts()[0])]).count() >= 93
+
+
+def test_late_events_are_dropped(spark):
+    at = shared_path(spark, "late")
+    day = lambda n: T0 + dt.timedelta(days=n)
+    spark.createDataFrame([(1, day(0)), (2, day(9))], SCHEMA).coalesce(1).write.parquet(at)
+    more = lambda: spark.createDataFrame([(3, day(0)), (4, day(9))], SCHEMA).coalesce(1).write.mode("append").parquet(at)
+    stream = live.stream_parts(spark, at, SCHEMA, files_per_batch=1)
+    got = live.drain(live.tumbling(stream, "ts", "1 day", delay="2 days"), "update", "window_start", again=more)
+    assert {r.window_start: r.n for r in got.collect()} == {day(0): 1, day(9): 2}
+
+
+def test_streams_join_in_time(spark):
+    at, bt = shared_path(spark, "left"), shared_path(spark, "right")
+    spark.createDataFrame([(1, T0), (2, T0)], SCHEMA).write.parquet(at)
+    spark.createDataFrame([(1, T0 + dt.timedelta(minutes=m)) for m in (-1, 0, 59, 61)], SCHEMA).write.parquet(bt)
+    left = live.stream_parts(spark, at, SCHEMA).select("id", F.col("ts").alias("lt"))
+    got = live.drain(live.stream_join(left, live.stream_parts(spark, bt, SCHEMA), "id", "lt", "ts", "1 hour", "1 day"), "append")
+    assert sorted((r.id, (r.ts - r.lt).seconds // 60) for r in got.collect()) == [(1, 0), (1, 59)]
+
+
 def test_distinct_within(spark):
     at = shared_path(spark, "dup")
     spark.createDataFrame([(1, T0), (1, T0), (2, T0)], SCHEMA).write.parquet(at)
