@@ -20,6 +20,7 @@ partial sums, so that no task holds a passage's every surrounding.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from .shingles import mix
 LENGTH, ANCHOR, PIECE, HOT_RUNS = 400, 100, 1 << 20, 4096
 #: Batches in which a table enters the family, and bytes of suffixes that a task holds at a time.
 BATCHES, BUCKET_BYTES = 4, 4 << 20
+#: Buckets that a task goes through, one after another: few files are written.
+BUCKETS_TOGETHER = 4
 _POSITION = np.uint64((1 << 22) - 1)
 
 
@@ -297,11 +300,12 @@ class SuffixFamily:
 
     def __init__(self, spark: SparkSession, *, length: int = LENGTH, anchor: int = ANCHOR, buckets: int = 1):
         self.spark, self.length, self.anchor, self.buckets = spark, length, anchor, buckets
-        self.levels: list[tuple[int, DataFrame, DataFrame]] = []  # suffixes, the level, the table it is part of
+        self.levels: list[tuple[int, DataFrame]] = []  # suffixes, and the level
+        self.tables: list[DataFrame] = []  # what has been written: levels, beside what was found on the way
 
     def add(self, batch_rows: DataFrame) -> DataFrame:
         """Adds rows (key, whole, after, before, low, high); gives (key, whole, first, last): windows of a run that
-        occur again in the batch, or in the batch and a level (then of both sides)."""
+        occur again in the batch, or in the batch and a level (then of both sides).  Readable until :meth:`close`."""
         n = batch_rows.count()
         size, merging = n, []
         for i in range(len(self.levels) - 1, -1, -1):
@@ -310,23 +314,23 @@ class SuffixFamily:
             merging.append(i)
             size += self.levels[i][0]
         new = batch_rows.select(F.lit(0).alias("side"), F.pmod(F.xxhash64("key"), F.lit(self.buckets)).alias("bucket"), F.lit(0).cast("long").alias("rank"), "after", "before", "low", "high", "key", "whole")
-        for i, (_, level, _) in enumerate(self.levels):
+        for i, (_, level) in enumerate(self.levels):
             new = new.unionByName(level.select(F.lit(i + 1).alias("side"), "bucket", "rank", "after", "before", "low", "high", "key", "whole"))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.buckets // BUCKETS_TOGETHER))
         ordered = new.repartition(parts, "bucket").sortWithinPartitions("bucket", "side", "rank")
         done = stash(ordered.mapInArrow(_step(frozenset(i + 1 for i in merging), self.length, self.anchor), _STEP_SQL))
-        found = stash(done.filter("kind = 0").select("key", "whole", F.col("low").alias("first"), F.col("high").alias("last")))
-        level = done.filter("kind = 1")
+        self.tables.append(done)
         for i in sorted(merging, reverse=True):
-            drop(self.levels.pop(i)[2])
-        self.levels.append((level.count(), level, done))
+            self.levels.pop(i)
+        level = done.filter("kind = 1")
+        self.levels.append((level.count(), level))
         release(self.spark)
-        return found
+        return done.filter("kind = 0").select("key", "whole", F.col("low").alias("first"), F.col("high").alias("last"))
 
     def close(self) -> None:
-        for _, _, table in self.levels:
+        for table in self.tables:
             drop(table)
-        self.levels = []
+        self.levels, self.tables = [], []
 
 
 _CONTEXTS = pa.schema([("part", pa.int32()), ("hot", pa.bool_()), ("after", pa.binary()), ("before", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("key", pa.int64()), ("whole", pa.int64())])
@@ -381,12 +385,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = hold(rows.mapInArrow(_find_runs(length, anchor), "key long, whole long, doc long, body long, lo int, more int, back int"))
     wholes = runs.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("times"))
     keys = wholes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")).filter(F.col("all") > 1).select("key", "kinds")
-    known = stash(wholes.join(keys, "key").select("key", "whole", "kinds"))
-    release(spark)
-    met = stash(runs.join(known, ["key", "whole"]))
-    runs.unpersist()
-    drop(known)
-    release(spark)
+    known = wholes.join(keys, "key").select("key", "whole", "kinds")
+    met = hold(runs.join(known, ["key", "whole"]))
     # a run that occurs many times sends two of its occurrences: they find each other, and stand for all
     place = F.struct("doc", "body", "lo")
     sent = met.groupBy("key", "whole").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.first("more").alias("more"), F.first("back").alias("back"), F.first("kinds").alias("kinds"))
@@ -394,21 +394,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = each.groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("key", "whole", "at.lo", "more", "back", (F.col("kinds") > hot_runs).alias("hot"))).alias("runs"))
     part = F.pmod(F.xxhash64("doc", "body"), F.lit(batches)).cast("int")
     contexts = stash(rows.join(wanted, ["doc", "body"]).select(part.alias("part"), "text", "runs").mapInArrow(_contexts(length), _CONTEXTS_SQL))
+    runs.unpersist()
     release(spark)
     total = contexts.agg(F.coalesce(F.sum(F.length("after") + F.length("before")), F.lit(0))).first()[0]
     family = SuffixFamily(spark, length=length, anchor=anchor, buckets=max(1, -(-total // BUCKET_BYTES)))
     columns = ("after", "before", "low", "high", "key", "whole")
     usual = contexts.filter("not hot")
     found = [family.add(usual.filter(F.col("part") == i).select(*columns)) for i in range(batches)]
-    family.close()
     windows = contexts.filter("hot").select(*columns).mapInArrow(_spread(length), "window binary, key long, whole long, first int")
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    again = stash(windows.join(twice, "window", "left_semi").select("key", "whole", "first", F.col("first").alias("last")))
+    found.append(windows.join(twice, "window", "left_semi").select("key", "whole", "first", F.col("first").alias("last")))
+    again = stash(reduce(DataFrame.unionByName, found).distinct())
+    family.close()
     drop(contexts)
-    for x in found:
-        again = again.unionByName(x)
-    spans = met.join(again.distinct(), ["key", "whole"])
-    return stash(spans.select("doc", "body", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + length).cast("int").alias("hi")))
+    release(spark)
+    spans = met.join(again, ["key", "whole"])
+    return hold(spans.select("doc", "body", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + length).cast("int").alias("hi")))
 
 
 def _named(id_col: str, text_col: str) -> list:

@@ -301,7 +301,7 @@ def test_family_is_logarithmic_and_ordered(spark):
         found |= {(r.whole, 3 - i) for r in family.add(some).collect() for i in range(r.first, r.last + 1)}
         assert [n for n, *_ in family.levels] == [[10], [20], [20, 10], [40], [40, 10], [40, 20], [40, 20, 10]][a // 10]
     assert found == {(r[1], b) for r in rows for b in range(4) if seen[window(r, b)] > 1}
-    for _, level, _ in family.levels:
+    for _, level in family.levels:
         by = collections.defaultdict(list)
         for r in level.orderBy("bucket", "rank").collect():
             by[r.bucket].append((bytes(r.after), bytes(r.before)))
