@@ -52,8 +52,9 @@ def write_flat(docs: DataFrame, at: str, text_col: str = "text", *, make=None, e
 
 
 def _cut_byte(end_id: int, width: int) -> int:
-    """A byte at which ranges may end: none of the identifier's, so that no range ends within one."""
-    return next(b for b in range(1, 128) if b not in end_id.to_bytes(width, "little"))
+    """A byte at which ranges may end: none of the identifier's, so that no range ends within one; a large one, as small
+    ones are the upper bytes of many ids, and each costs a row."""
+    return next(b for b in range(127, 0, -1) if b not in end_id.to_bytes(width, "little"))
 
 
 def _scan(end_id: int, width: int, cut: int, block_bytes: int):
