@@ -121,7 +121,8 @@ def give_back(since: int, *but: DataFrame) -> None:
 
 def join_salted(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``unique``, which has one row for a key, however many rows have the same key."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    hashed = [f"`{f.name}`" for f in rows.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)))
     copies = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 

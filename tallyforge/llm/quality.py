@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, need, stash
+from .common import hold, join_salted, need, stash
 
 #: Fixed rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
@@ -38,6 +38,8 @@ LEAST_WORD_LENGTH, LEAST_LENGTH, RIDGE = 1 / 32, 1 / 4, 1 / 16
 #: Distances are counted in bins of 1/32 up to 100, so that a group's histogram has at most 3201 rows; the core's edge
 #: lies far below that, and what lies beyond counts as 100.
 UNIT, BINS, FAR = 256, 32, 100.0
+#: Estimates of so many groups at most are sent to all tasks (a few hundred bytes each); more are joined over salts.
+MOST_SENT = 20_000
 DIM = range(1, 6)
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -100,10 +102,19 @@ def _transformed() -> list[Column]:
     return [F.floor(x * UNIT + 0.5).cast("long").alias(f"__x{i}") for i, x in zip(DIM, raw, strict=True)]
 
 
-def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], how: str, small: bool) -> DataFrame:
+    """Rows with what their group has.  A hot group is one task in neither case."""
+    if small:
+        return rows.join(F.broadcast(table), on, how)
+    key = F.xxhash64(*on)
+    named = table.select(key.alias("__key"), *[c for c in table.columns if c not in on])  # 64-bit hashes of names
+    return join_salted(rows.withColumn("__key", key), named, "__key", how).drop("__key")
+
+
+def _distance(rows: DataFrame, stats: DataFrame, how: str = "inner", small: bool = True) -> DataFrame:
     """Adds __d2 (and the start, __st, in whose measure): forward substitution in the Cholesky factor of the group's
     covariance."""
-    out = rows.join(stats, "__g", how)
+    out = _joined(rows, stats, ["__g"], how, small)
     for i in DIM:
         z = f"__x{i} / {float(UNIT)}D - __m{i}" + "".join(f" - __l{i}{j} * __z{j}" for j in range(1, i))
         out = out.selectExpr("*", f"({z}) / __l{i}{i} AS __z{i}")
@@ -196,11 +207,11 @@ def _starts(fit: DataFrame) -> DataFrame:
     return diagonal(1, quartiles).unionByName(classical).unionByName(diagonal(3, lambda i: _spread(i, i)))
 
 
-def _concentrate(fit: DataFrame, stats: DataFrame) -> DataFrame:
+def _concentrate(fit: DataFrame, stats: DataFrame, small: bool = True) -> DataFrame:
     """One step: mean and Cholesky factor of the covariance of the documents nearest under ``stats``; __same says whether
     nothing has changed.  The documents are read once: their sums by bins of distance, which are added up to the core's
     edge (a group has a bounded number of bins, so no task gets more of one group)."""
-    binned = _distance(fit, stats).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(FAR)) * BINS).cast("long"))
+    binned = _distance(fit, stats, small=small).withColumn("__bin", F.floor(F.least(F.col("__d2"), F.lit(FAR)) * BINS).cast("long"))
     sums = _sums(binned, "__g", "__st", "__bin").repartition("__g", "__st", "__bin")
     w = Window.partitionBy("__g", "__st")
     met = sums.select("*", (F.sum("n").over(w.orderBy("__bin")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
@@ -240,46 +251,47 @@ def _group(lang_col: str, source_col: str) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "__l"), (source_col, "__s"))]
 
 
-def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFrame]:
-    """Which estimate each language and source uses, and the estimates."""
+def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Which estimate each language and source uses, the estimates, and whether they are few."""
     good = rows.filter("not base_failed")
     sizes = good.groupBy("__l", "__s").agg(F.count(F.lit(1)).alias("n_s"))
     sizes = sizes.join(sizes.groupBy("__l").agg(F.sum("n_s").alias("n_l")), "__l")
     key = F.when(F.col("n_s") >= min_group, F.concat_ws("\u0001", F.lit("s"), "__l", "__s")).when(F.col("n_l") >= min_group, F.concat_ws("\u0001", F.lit("l"), "__l")).otherwise(F.lit("a"))
     uses = stash(sizes.select("__l", "__s", key.alias("__own")))
-    fit = hold(_fit_rows(good.select("__l", "__s", *[f"__x{i}" for i in DIM]).join(uses, ["__l", "__s"])))
+    small = uses.count() <= MOST_SENT  # estimates are no more than groups, languages and one for all
+    fit = hold(_fit_rows(_joined(good.select("__l", "__s", *[f"__x{i}" for i in DIM]), uses, ["__l", "__s"], "inner", small), small))
     stats = stash(_starts(fit))
     for _ in range(FIRST_STEPS):
-        stats = stash(_concentrate(fit, stats))
+        stats = stash(_concentrate(fit, stats, small))
     determinant = F.lit(1.0)
     for i in DIM:
         determinant = determinant * F.col(f"__l{i}{i}")
     best = stats.groupBy("__g").agg(F.min(F.struct(determinant.alias("det"), "__st", *STATS)).alias("best"))
     stats = stash(best.select("__g", "best.__st", *[f"best.{c}" for c in STATS]))
     for _ in range(steps):
-        stats = stash(_concentrate(fit, stats))
+        stats = stash(_concentrate(fit, stats, small))
         if stats.filter("not __same").isEmpty():  # a row for each group
             break
     fit.unpersist()
-    return uses, stats.drop("__st", "__same")
+    return uses, stats.drop("__st", "__same"), small
 
 
-def _verdict(rows: DataFrame, uses: DataFrame, stats: DataFrame, cutoff: float) -> DataFrame:
+def _verdict(rows: DataFrame, uses: DataFrame, stats: DataFrame, small: bool, cutoff: float) -> DataFrame:
     """Adds __d2 (null where a fixed rule failed) and __kept."""
-    placed = rows.join(uses.withColumnRenamed("__own", "__g"), ["__l", "__s"], "left")
-    far = _distance(placed, stats, "left").withColumn("__d2", F.when(~F.col("base_failed"), F.col("__d2")))
+    placed = _joined(rows, uses.withColumnRenamed("__own", "__g"), ["__l", "__s"], "left", small)
+    far = _distance(placed, stats, "left", small).withColumn("__d2", F.when(~F.col("base_failed"), F.col("__d2")))
     return far.withColumn("__kept", F.coalesce(~F.col("base_failed") & (F.col("__d2") <= cutoff), F.lit(False)))
 
 
-def _fit_rows(rows: DataFrame) -> DataFrame:
+def _fit_rows(rows: DataFrame, small: bool) -> DataFrame:
     """Rows by the estimate that they take part in: their own group's, and their language's and everything's
     where some group falls back to it (then all rows of the language, or all rows, take part)."""
     x = [f"__x{i}" for i in DIM]
-    # written first: at most a row for each language, whose size is then known, so that no language is dealt to one task
-    back = stash(rows.filter(F.col("__own").startswith("l") | (F.col("__own") == "a")).select("__own").distinct())
+    back = rows.filter(F.col("__own").startswith("l") | (F.col("__own") == "a")).select("__own").distinct()
+    send = lambda known: F.broadcast(known) if small else known  # noqa: E731  no more than languages, and one
     own = rows.filter(F.col("__own").startswith("s")).select(F.col("__own").alias("__g"), *x)
-    by_lang = rows.select(F.concat_ws("\u0001", F.lit("l"), "__l").alias("__g"), *x).join(back.withColumnRenamed("__own", "__g"), "__g", "left_semi")
-    every = rows.select(F.lit("a").alias("__g"), *x).join(back.withColumnRenamed("__own", "__g"), "__g", "left_semi")
+    by_lang = rows.select(F.concat_ws("\u0001", F.lit("l"), "__l").alias("__g"), *x).join(send(back.withColumnRenamed("__own", "__g")), "__g", "left_semi")
+    every = rows.select(F.lit("a").alias("__g"), *x).join(send(back.withColumnRenamed("__own", "__g")), "__g", "left_semi")
     return own.unionByName(by_lang).unionByName(every)
 
 

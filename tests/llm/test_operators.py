@@ -62,7 +62,9 @@ def test_quality_statistics(spark):
     assert rows_of(got) == sorted(want, key=repr)
 
 
-def test_quality_rejects_outliers_and_keeps_the_rest(spark):
+@pytest.mark.parametrize("most_sent", [20_000, 0])
+def test_quality_rejects_outliers_and_keeps_the_rest(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(quality, "MOST_SENT", most_sent)
     good = [(i, wordy(i, 20 + 7 * (i % 60)), "en" if i % 3 else None, f"s{i % 2}") for i in range(200)]
     junk = [(1000 + i, " ".join(x + "%%%&&&***" for x in wordy(i, 60).split()), "en", "s1") for i in range(6)]
     few = [(2000 + i, wordy(i, 80), "xx", "rare") for i in range(5)]
