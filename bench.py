@@ -49,13 +49,13 @@ def main() -> None:
     records, log = logs.made_records(spark, 1_850_000), f"{scratch}/log"
     logs.made_weblog(spark, 1_600_000).write.text(log)  # about 100 MB
     timed("ingest_sorted_1850k_rows", lambda: parts.write_part(records, f"{scratch}/part", mode="overwrite"))
-    timed("parse_weblog_100mb", lambda: sink(logs.parse_weblog(logs.read_lines(spark, log))))
+    timed("parse_weblog_100mb", lambda: sink(logs.parse_weblog(logs.read_lines(spark, log, with_file=False))))
     part = parts.read_part(spark, f"{scratch}/part")
     timed("filtered_count_1850k_rows", lambda: part.filter("value > 100").count())
     timed("skipped_range_count_1850k_rows", lambda: part.filter("ts between 900000 and 900020").count())
     from tallyforge.operators.scanning import indicator_report
 
-    timed("scan_3_patterns_100mb", lambda: sink(indicator_report(logs.read_lines(spark, log), "line", logs.INDICATORS)))
+    timed("scan_3_patterns_100mb", lambda: sink(indicator_report(logs.read_lines(spark, log, with_file=False), "line", logs.INDICATORS)))
     n = spark.read.parquet(f"{SF_DIR}/events.parquet").agg(F.count(F.lit(1))).first()[0]
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF_DIR, "cpus": int(CPUS), "events": n}))
     spark.stop()

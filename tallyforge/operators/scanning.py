@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,13 @@ def count_pattern(df: DataFrame, column: str, pattern: str) -> DataFrame:
 
 
 def indicator_report(df: DataFrame, column: str, patterns: list[str], *by: str) -> DataFrame:
-    """pattern, hits (for each group of ``by``): one sum for each pattern in one scan, then turned into rows."""
+    """pattern, hits (for each group of ``by``): one sum for each pattern in one scan, then turned into rows.
+
+    Most texts hold no pattern, so without groups they go before anything is summed (with groups they
+    stay, as a group without hits is reported too).
+    """
+    if not by and patterns:
+        df = df.filter(reduce(operator.or_, [F.col(column).contains(F.lit(p)) for p in patterns]))
     sums = [F.coalesce(F.sum(occurrences(column, p)), F.lit(0)).cast("long").alias(f"__{i}") for i, p in enumerate(patterns)]
     wide = df.groupBy(*by).agg(*sums)
     long = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"__{i}").alias("hits")) for i, p in enumerate(patterns)]))

@@ -19,20 +19,22 @@ ODD_EVERY = 5000
 #: Indicators of compromise that a scan looks for.
 INDICATORS = ["13.37.13.37", "/admin", "/.env"]
 
-LINE = r"^\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\] \S+ \S+ \S+ \d{3}\s*$"
+# fields hold no blank, so nothing is ever given back: possessive
+LINE = r"^\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\] \S++ \S++ \S++ \d{3}\s*$"
 
 
-def read_lines(spark: SparkSession, *paths: str, encoding: str | None = None) -> DataFrame:
-    """One row per line, with the file it came from.  Files are split among tasks, also those of another encoding that
-    has one byte for a line end; others (UTF-16) are read whole, so they must be under 2 GB each."""
+def read_lines(spark: SparkSession, *paths: str, encoding: str | None = None, with_file: bool = True) -> DataFrame:
+    """One row per line, with the file it came from (the reader adds it to every line, so leave it out where it is not
+    needed); a line ends at LF, CR or both, which Spark's reader takes off.
+    Files are split among tasks, also those of another encoding that has one byte for a line end; others (UTF-16)
+    are read whole, so they must be under 2 GB each."""
     if encoding:
         if len("\n".encode(encoding)) > 1:
-            return _wide_lines(spark, paths, encoding)
-        raw = spark.read.text(list(paths)).select(F.decode(F.col("value").cast("binary"), encoding).alias("value"), "_metadata.file_path")
-        bare = F.regexp_replace("value", "\r$", "")
-        return raw.select(bare.alias("line"), F.col("file_path").alias("file"))
-    bare = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
-    return spark.read.text(list(paths)).select(bare.alias("line"), F.col("_metadata.file_path").alias("file"))
+            wide = _wide_lines(spark, paths, encoding)
+            return wide if with_file else wide.drop("file")
+    text = F.decode(F.col("value").cast("binary"), encoding) if encoding else F.col("value")
+    file = [F.col("_metadata.file_path").alias("file")] if with_file else []
+    return spark.read.text(list(paths)).select(text.alias("line"), *file)
 
 
 def _wide_lines(spark: SparkSession, paths: tuple[str, ...], encoding: str) -> DataFrame:
@@ -45,8 +47,7 @@ def _wide_lines(spark: SparkSession, paths: tuple[str, ...], encoding: str) -> D
 def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """line_no (from 0 in its file), line, file.  Files are read in ranges; a prefix sum over the ranges' line counts
     gives where each one starts, so a large file is many tasks."""
-    bare = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
-    raw = spark.read.text(list(paths)).select(bare.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    raw = spark.read.text(list(paths)).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
     kept = settle(raw, "lines")  # ids follow a range's lines, and are fixed once written
     ranges = kept.groupBy("file", "__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
@@ -79,7 +80,7 @@ def parse_weblog(lines: DataFrame, column: str = "line") -> DataFrame:
     fields = F.when(F.col(column).rlike(LINE), F.split(F.rtrim(column), " "))
     part = lambda i: F.get(F.col("__fields"), F.lit(i))
     cut = lines.select(F.col(column).alias("raw"), fields.alias("__fields"))
-    moment = F.concat(F.substring(part(0), 2, 10), F.lit(" "), F.substring(part(1), 1, 8))
+    moment = F.when(F.col("__fields").isNotNull(), F.substring("raw", 2, 19))  # its place is part of the shape
     return cut.select(moment.try_cast("timestamp").alias("ts"), part(2).alias("ip"), part(3).alias("method"), part(4).alias("path"), part(5).try_cast("int").alias("status"), "raw")
 
 

@@ -13,6 +13,8 @@ from ..session import settle
 
 #: Rows in a page, the unit that a time range can skip.
 PAGE_ROWS = 8192
+#: Low bits of Spark's monotonic ids: the place in a partition; the partition's number is above them.
+ID_BITS = 33
 
 
 def write_part(df: DataFrame, path: str, ts: str = "ts", *ties: str, files: int | None = None, codec: str = "zstd", page_rows: int = PAGE_ROWS, rows_per_file: int = 0, mode: str = "errorifexists") -> None:
@@ -53,16 +55,17 @@ def merge_parts(spark: SparkSession, paths: list[str], out: str, ts: str = "ts",
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds __row, the place from 0 in a global order, without bringing all rows to one task.
 
-    Rows are range-partitioned and written once; a prefix sum over the partitions' counts (one row for each)
-    gives where each partition starts.
+    Rows are range-partitioned, sorted where they are, and written once with Spark's own ids (partition, then place);
+    a prefix sum over the partitions' counts (one row for each) gives where each partition starts.
     """
     keys = [F.col(c) for c in order]
-    spread = settle(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "numbered")
-    counts = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    kept = settle(spread, "numbered").withColumn("__part", F.shiftright("__id", ID_BITS))
+    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
     starts = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return spread.withColumn("__inside", inside).join(starts, "__part").withColumn("__row", F.col("__start") + F.col("__inside") - 1).drop("__part", "__start", "__inside")
+    inside = F.col("__id") - F.shiftleft("__part", ID_BITS)
+    return kept.join(starts, "__part").withColumn("__row", F.col("__start") + inside).drop("__part", "__start", "__id")
 
 
 def granule_index(df: DataFrame, ts: str = "ts", *ties: str, rows: int = PAGE_ROWS) -> DataFrame:

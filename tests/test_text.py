@@ -38,12 +38,30 @@ def test_reports_over_files(spark, tmp_path):
     assert S.scan_files(spark, [f"{tmp_path}/missing"], ["x"]).count() == 0
 
 
+def test_reports_of_texts_without_a_hit(spark):
+    df = spark.createDataFrame([("a", "xx"), ("a", None), ("b", "/admin/admin")], "g string, t string")
+    assert [tuple(r) for r in S.indicator_report(df.filter("g = 'a'"), "t", ["/admin"]).collect()] == [("/admin", 0)]
+    assert {tuple(r) for r in S.indicator_report(df, "t", ["/admin", "x"], "g").collect()} == {("a", "/admin", 0), ("a", "x", 2), ("b", "/admin", 2), ("b", "x", 0)}
+    assert [r.hits for r in S.indicator_report(df, "t", ["/admin", "x"]).collect()] == [2, 2]
+
+
+def test_line_ends(spark, tmp_path):
+    (tmp_path / "mixed.log").write_bytes(b"a\r\nb\rc\n\nd\r\r\n")
+    for encoding in (None, "ISO-8859-1"):
+        assert logs.read_lines(spark, f"{tmp_path}/mixed.log", encoding=encoding, with_file=False).columns == ["line"]
+        assert [r.line for r in logs.read_lines(spark, f"{tmp_path}/mixed.log", encoding=encoding).collect()] == ["a", "b", "c", "", "d", ""]
+    assert {(r.line_no, r.line) for r in logs.numbered_lines(spark, f"{tmp_path}/mixed.log").collect()} == {(0, "a"), (1, "b"), (2, "c"), (3, ""), (4, "d"), (5, "")}
+
+
 def test_weblog(spark):
     p = logs.parse_weblog(logs.made_weblog(spark, 10_001))
     assert p.filter("ts is null or status is null").count() == 0
     assert p.filter(F.col("ip").isin(*logs.ODD_IPS)).count() == 3
     odd = logs.parse_weblog(spark.createDataFrame([("no log line",), (None,)], "line string")).collect()
     assert [r.status for r in odd] == [None, None] and odd[0].raw == "no log line"
+    edge = ["[2024-01-01 00:00:00] a b c 200 \t", "[2024-01-01 00:00:00] a  c 200", "[2024-13-01 00:00:00] a b c 200", "x[2024-01-01 00:00:00] a b c 200", "[2024-01-01 00:00:00] a b c 2000"]
+    got = logs.parse_weblog(spark.createDataFrame([(x,) for x in edge], "line string")).collect()
+    assert [r.path for r in got] == ["c", None, "c", None, None] and [r.ts is None for r in got] == [False, True, True, True, True]
 
 
 def test_line_language(spark):
