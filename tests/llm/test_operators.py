@@ -509,6 +509,63 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.link_components(table(spark, [])).count() == 0
 
 
+def test_signatures_travel_once_for_like_groups(spark, monkeypatch):
+    """Near copies of a long text meet in a group for nearly every shingle they look at: a signature goes to few places,
+    not to each group."""
+    rng, base = random.Random(9), wordy(77, 1500, [f"v{i}" for i in range(900)]).split()
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(12):
+            words[rng.randrange(len(words))] = f"own{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    ties = jaccard._ties
+
+    def counted(percent):
+        run = ties(percent)
+        at = spark.sparkContext.accumulator(0)
+        groups = spark.sparkContext.accumulator(0)
+        seen[:] = at, groups
+
+        def each(batches):
+            def tell():
+                for b in batches:
+                    groups.add(len(b.column(b.schema.get_field_index("g")).drop_null()))
+                    at.add(len(b.column(b.schema.get_field_index("bits")).drop_null()))
+                    yield b
+
+            return run(tell())
+
+        return each
+
+    monkeypatch.setattr(jaccard, "_ties", counted)
+    assert {r.component_id for r in jaccard.link_components(table(spark, rows)).collect()} == {0}
+    sent, groups = (x.value for x in seen)
+    assert groups > 1000 and sent < 0.5 * groups, (sent, groups)
+
+
+def test_few_words_in_all():
+    import pyarrow as pa
+
+    assert [len(s) for x in ("a", "a b", "a b c", "a b c d") for s in shingles.shingle_sets(pa.array([x]))] == [1] * 4
+
+
+def test_candidates_by_bitmap(spark, monkeypatch):
+    """A bitmap loses no key, whatever its size, and what it rules out is not among the keys."""
+    from tallyforge.llm import common
+
+    rows, keys = spark.range(2000).selectExpr("if(id = 5, null, id - 1000) as doc"), spark.range(0, 2000, 40).selectExpr("id - 1000 as doc")
+    wanted = {r.doc for r in keys.collect()}
+    for size in (1, 8, 1 << 16):
+        monkeypatch.setattr(common, "BITMAP_WORDS", size)
+        bits = common.bitmap(keys, "doc")
+        assert bits.count() <= size
+        some, others = ([r.doc for r in common.in_bitmap(rows, bits, "doc", how).collect()] for how in ("left_semi", "left_anti"))
+        assert wanted <= set(some) and len(some) + len(others) == 2000 and not wanted & set(others)
+    assert len(some) < 60
+
+
 @pytest.mark.parametrize("piece", [7, 64, 1 << 21])
 def test_shingles(monkeypatch, piece):
     import pyarrow as pa
