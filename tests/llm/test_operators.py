@@ -566,6 +566,17 @@ def test_candidates_by_bitmap(spark, monkeypatch):
     assert len(some) < 60
 
 
+def test_rows_that_surely_stay_do_not_travel(spark):
+    """Of each group one row stays; rows that no group drops are not shuffled."""
+    rows = [(i, t) for i, t in enumerate(t for k in range(60) for t in [wordy(9000 + k, 40)] * (1 + (k % 6 == 0)))]
+    kept = jaccard.keep_one(table(spark, [*rows, (None, "x y"), (900, None), (901, " ")]))
+    want = {min(i for i, u in rows if u == t) for _, t in rows} | {None, 900, 901}
+    got = [r.doc_id for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") >= 2 and "Union" in plan and "LeftOuter" not in plan.split("InMemoryRelation")[0]
+
+
 @pytest.mark.parametrize("piece", [7, 64, 1 << 21])
 def test_shingles(monkeypatch, piece):
     import pyarrow as pa
