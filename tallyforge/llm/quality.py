@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, join_salted, need, stash
+from .common import hold, join_salted, need, release, stash
 
 #: Fixed rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
@@ -263,6 +263,7 @@ def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFr
     stats = stash(_starts(fit))
     for _ in range(FIRST_STEPS):
         stats = stash(_concentrate(fit, stats, small))
+    release(fit.sparkSession)
     determinant = F.lit(1.0)
     for i in DIM:
         determinant = determinant * F.col(f"__l{i}{i}")
@@ -273,6 +274,7 @@ def _fit(rows: DataFrame, steps: int, min_group: int) -> tuple[DataFrame, DataFr
         if stats.filter("not __same").isEmpty():  # a row for each group
             break
     fit.unpersist()
+    release(rows.sparkSession)
     return uses, stats.drop("__st", "__same"), small
 
 

@@ -545,6 +545,45 @@ def test_signatures_travel_once_for_like_groups(spark, monkeypatch):
     assert groups > 1000 and sent < 0.5 * groups, (sent, groups)
 
 
+def test_what_is_kept_holds_no_plans(spark):
+    """What operators keep refers to no table whose cache the caller has cleared, and to written ones by their folders."""
+    import gc
+    import weakref
+
+    from tallyforge.llm import common
+
+    since = common.mark()
+    stashed, held = common.stash(spark.range(5)), common.hold(spark.range(7))
+    assert held.count() == 7
+    gone = [weakref.ref(stashed), weakref.ref(held)]
+    stays = common.stash(spark.range(6))
+    del stashed, held
+    spark.catalog.clearCache()
+    last = common.hold(spark.range(8))
+    gc.collect()
+    assert [x() for x in gone] == [None, None]
+    common.give_back(since, stays)
+    assert not last.storageLevel.useDisk and stays.count() == 6
+    folder = stays.inputFiles()[0].rsplit("/", 1)[0]
+    common.give_back(since)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        spark.read.schema("id long").parquet(folder).count()
+
+
+def test_driver_gives_back_native_memory(spark, monkeypatch):
+    """Jobs on hundreds of threads leave freed memory with the driver's JVM; operators that run many give it back."""
+    from tallyforge.llm import common
+
+    given = []
+    trim = common.trim
+    monkeypatch.setattr(common, "trim", lambda s: given.append(trim(s)))
+    rows = [(i, wordy(i, 40)) for i in range(80)]
+    assert quality.judge(table(spark, rows)).count() == 80
+    steps, given[:] = len(given), []
+    assert jaccard.link_components(table(spark, rows)).count() == 80
+    assert steps > 3 and len(given) > 3
+
+
 def test_few_words_in_all():
     import pyarrow as pa
 
